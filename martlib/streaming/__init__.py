@@ -1,0 +1,5 @@
+"""Intentionally empty: the workload has batch tables only.
+
+The word "stream" elsewhere in this package means one (region, platform) weekly
+series, not a live source, so there are no readStream / writeStream jobs.
+"""
