@@ -7,6 +7,8 @@ other, so the loop runs over the horizon (at most 24), never over series or rows
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from martlib.storage import write_through
 
 TAIL = max([*LAGS, *MEAN_WINDOWS, *STD_WINDOWS])
 
+NO_DATE = date(1970, 1, 1)
+
 # Steps planned together before the state is written out, so plans stay short.
 STEPS_PER_PLAN = 12
 
@@ -54,15 +58,16 @@ def _mean(values: Column) -> Column:
     return F.try_divide(total, F.size(values).cast("double"))
 
 
-def _std(values: Column, sample: bool) -> Column:
-    mean = _mean(values)
+def _std(values: Column, mean: Column, sample: bool) -> Column:
     squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
     n = F.size(values).cast("double")
     return F.sqrt(F.try_divide(squares, n - 1.0 if sample else n))
 
 
-def history_features(short_lag: str = "lag_1", sample_std: bool = True) -> dict[str, Column]:
-    """Lag and rolling features of the ``history`` array.
+def history_features(
+    short_lag: str = "lag_1", sample_std: bool = True
+) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Lags and means of the ``history`` array, then deviations, which use those means.
 
     When the history is shorter than a lag needs, ``short_lag`` chooses the last value
     ("lag_1") or zero ("zero"); a mean falls back to the mean of all, a deviation to 0.
@@ -78,15 +83,19 @@ def history_features(short_lag: str = "lag_1", sample_std: bool = True) -> dict[
     def tail(k):
         return F.slice(history, -k, k)
 
-    features = {
+    first = {
         f"lag_{k}": F.when(size >= k, F.try_element_at(history, F.lit(-k))).otherwise(fallback)
         for k in LAGS
     }
     for k in MEAN_WINDOWS:
-        features[f"rolling_mean_{k}"] = F.when(size >= k, _mean(tail(k))).otherwise(_mean(history))
-    for k in STD_WINDOWS:
-        features[f"rolling_std_{k}"] = F.when(size >= k, _std(tail(k), sample_std)).otherwise(0.0)
-    return features
+        first[f"rolling_mean_{k}"] = F.when(size >= k, _mean(tail(k))).otherwise(_mean(history))
+    second = {
+        f"rolling_std_{k}": F.when(
+            size >= k, _std(tail(k), F.col(f"rolling_mean_{k}"), sample_std)
+        ).otherwise(0.0)
+        for k in STD_WINDOWS
+    }
+    return first, second
 
 
 def calendar_features(
@@ -125,29 +134,31 @@ def _recurse(
 ) -> DataFrame:
     """Adds ``preds``, one prediction per step; a step whose date is null leaves the state alone."""
     kept = [c for c in state.columns if c != "history"]
+    # Column objects do not depend on the step, so they are built once.
     dummies = _dummies(feature_columns(model))
+    averages, deviations = history_features(short_lag, sample_std)
+    grown = F.concat("history", F.array(PREDICTION))
+    pushed = F.when(F.size(grown) > TAIL, F.slice(grown, -TAIL, TAIL)).otherwise(grown)
+    longer = F.concat("preds", F.array(PREDICTION))
+
     state = state.withColumn("preds", F.array().cast("array<double>"))
     for step in range(1, horizon + 1):
         d = step_date(step)
+        # A series without this step still needs valid inputs; its prediction is not kept.
+        day = F.coalesce(d, F.lit(NO_DATE))
         frame = state.withColumns(
             {
-                **history_features(short_lag, sample_std),
-                **calendar_features(d, week_rule, in_year, from_week),
-                "transactions": step_transactions(step),
+                **averages,
+                **calendar_features(day, week_rule, in_year, from_week),
                 **dummies,
+                "transactions": step_transactions(step),
+                "active": d.isNotNull(),
             }
-        ).fillna(0.0, subset=feature_columns(model))
-        pushed = F.slice(F.concat("history", F.array(PREDICTION)), -TAIL, TAIL)
-        grown = F.concat("history", F.array(PREDICTION))
+        ).withColumns(deviations)
         state = predict(model, frame).select(
             *kept,
-            F.when(d.isNull(), F.col("history"))
-            .when(F.size(grown) > TAIL, pushed)
-            .otherwise(grown)
-            .alias("history"),
-            F.when(d.isNull(), F.col("preds"))
-            .otherwise(F.concat("preds", F.array(PREDICTION)))
-            .alias("preds"),
+            F.when(F.col("active"), pushed).otherwise(F.col("history")).alias("history"),
+            F.when(F.col("active"), longer).otherwise(F.col("preds")).alias("preds"),
         )
         if step % STEPS_PER_PLAN == 0 and step < horizon:
             state = write_through(state, f"forecast-step-{step}")
@@ -273,8 +284,15 @@ def forecast_total(
 
 
 def forecast_band(totals: DataFrame, width: float = 0.5) -> DataFrame:
-    """A constant band of ``width`` sample deviations around the total forecast."""
-    half = totals.agg(F.stddev_samp("forecast") * width).scalar()
-    return totals.withColumns(
-        {"lower": F.col("forecast") - half, "upper": F.col("forecast") + half}
+    """A constant band of ``width`` sample deviations around the total forecast.
+
+    ``totals`` has one row per forecast week, so the unpartitioned window is horizon-sized;
+    it also evaluates the forecast once, where a join or subquery would run it twice.
+    """
+    half = F.stddev_samp("forecast").over(Window.partitionBy()) * width
+    return totals.withColumn("_half", half).select(
+        DATE,
+        "forecast",
+        (F.col("forecast") - F.col("_half")).alias("lower"),
+        (F.col("forecast") + F.col("_half")).alias("upper"),
     )

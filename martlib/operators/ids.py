@@ -20,7 +20,11 @@ def mark_ties(df: DataFrame) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order_by: list[str], id_column: str, start: int = 0
+    df: DataFrame,
+    order_by: list[str],
+    id_column: str,
+    start: int = 0,
+    partitions: int | None = None,
 ) -> tuple[DataFrame, int, str]:
     """(``df`` with ids start+1.. in ``order_by`` order, last id, path of the staged rows).
 
@@ -29,12 +33,15 @@ def number_rows(
     own plus its position in that file. No task ever holds one key's rows as a group,
     ids cannot change after the staged files exist, and what is broadcast has one row
     per staged file. The caller may remove the staged path once the result is stored.
+    ``partitions`` sizes the range shuffle; None leaves it to the session and AQE.
     """
     spark = df.sparkSession
     schema_df = df.drop(TIE)
     keys = order_by + [TIE] if TIE in df.columns else order_by
     path = new_path(spark, "numbering")
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(TIE).write.parquet(path)
+    sized = [partitions] if partitions else []
+    ranged = df.repartitionByRange(*sized, *keys)
+    ranged.sortWithinPartitions(*keys).drop(TIE).write.parquet(path)
 
     scan = spark.read.schema(schema_df.schema).parquet(path)
     staged = scan.select(

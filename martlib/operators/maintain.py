@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from martlib.functions import cleaning as C
 from martlib.operators.ids import mark_ties, number_rows
 from martlib.operators.star import (
+    ID_ORDER,
     Star,
     read_high_water,
     read_star,
@@ -22,16 +23,6 @@ CUSTOMER_TYPES = ["New", "Existing", "Guest"]
 LEAST_TRANSACTIONS = 1
 LEAST_SALES = 1
 
-NEW_ROW_ORDER = [
-    "week_date",
-    "region",
-    "platform",
-    "segment_code",
-    "customer_type",
-    "transactions",
-    "sales",
-]
-
 
 def validate_new_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows, rejected rows with ``reject_reason``) by the input rules."""
@@ -85,7 +76,7 @@ def derive_new_facts(
 def new_facts(star: Star, rows: DataFrame, last_id: int) -> tuple[DataFrame, DataFrame, int, str]:
     """(fact rows numbered after ``last_id``, rejects, new last id, staged path)."""
     matched, rejects = derive_new_facts(star, mark_ties(rows))
-    numbered, top, staged = number_rows(matched, NEW_ROW_ORDER, "sales_id", start=last_id)
+    numbered, top, staged = number_rows(matched, ID_ORDER, "sales_id", start=last_id)
     return numbered.select(*FACT.fieldNames()), rejects, top, staged
 
 

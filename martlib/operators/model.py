@@ -147,7 +147,7 @@ def _fold_errors(task) -> list[tuple[GbtParams, float]]:
 
 
 def tune(
-    train: DataFrame, columns: list[str], grid: dict = GRID, folds: int = 5, threads: int = 4
+    train: DataFrame, columns: list[str], grid: dict = GRID, folds: int = 5, threads: int = 8
 ) -> tuple[GbtParams, DataFrame]:
     """Grid search by mean fold MAE. Returns the best parameters and the score table.
 

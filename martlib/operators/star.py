@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from martlib import schemas as S
 from martlib.operators.clean import clean_weekly_sales, split_rejects
 from martlib.operators.ids import TIE, mark_ties, number_rows
-from martlib.storage import remove_path, write_through
+from martlib.storage import partitions_for, remove_path, write_through
 
 # Ids follow the week, then the natural key.
 ID_ORDER = [
@@ -24,7 +24,8 @@ ID_ORDER = [
     "sales",
 ]
 
-TABLES = ["dim_region", "dim_platform", "dim_segment", "fact_weekly_sales"]
+DIMENSIONS = ["dim_region", "dim_platform", "dim_segment"]
+TABLES = [*DIMENSIONS, "fact_weekly_sales"]
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,9 @@ class Star:
     dim_segment: DataFrame
     fact: DataFrame
 
+    def dims(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in DIMENSIONS}
+
     def table(self, name: str) -> DataFrame:
         return self.fact if name == "fact_weekly_sales" else getattr(self, name)
 
@@ -81,13 +85,20 @@ def build_fact(numbered: DataFrame, star: Star) -> DataFrame:
 
 
 def write_star(star: Star, path: str, last_id: int) -> None:
-    """Write the four tables, the fact partitioned by year, and the id high-water mark."""
-    for name in ["dim_region", "dim_platform", "dim_segment"]:
-        star.table(name).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-    star.fact.write.mode("overwrite").partitionBy("calendar_year").parquet(
-        f"{path}/fact_weekly_sales"
-    )
-    write_high_water(star.fact.sparkSession, path, last_id, mode="overwrite")
+    """Drop and rebuild the four tables under ``path``, and set the id high-water mark."""
+    for name, df in star.dims().items():
+        _write_dim(df, path, name)
+    _write_fact(star.fact, path, last_id)
+
+
+def _write_dim(df: DataFrame, path: str, name: str) -> DataFrame:
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def _write_fact(fact: DataFrame, path: str, last_id: int) -> None:
+    fact.write.mode("overwrite").partitionBy("calendar_year").parquet(f"{path}/fact_weekly_sales")
+    write_high_water(fact.sparkSession, path, last_id, mode="overwrite")
 
 
 def write_high_water(spark: SparkSession, path: str, last_id: int, mode: str = "append") -> None:
@@ -122,15 +133,17 @@ def build_star(raw: DataFrame, path: str, week_rule: str = "monday_w1") -> Star:
     spark = raw.sparkSession
     accepted, rejected = split_rejects(clean_weekly_sales(mark_ties(raw), week_rule))
     rejected.write.mode("overwrite").parquet(f"{path}/rejects")
-    numbered, last_id, staged = number_rows(accepted, ID_ORDER, "sales_id")
+    numbered, last_id, staged = number_rows(
+        accepted, ID_ORDER, "sales_id", partitions=partitions_for(raw)
+    )
     keys = natural_keys(spark.read.schema(accepted.drop(TIE).schema).parquet(staged))
     dims = Star(
-        dim_region=write_through(build_dim(keys, "region"), "dim-region"),
-        dim_platform=write_through(build_dim(keys, "platform"), "dim-platform"),
-        dim_segment=write_through(build_dim_segment(keys), "dim-segment"),
+        dim_region=_write_dim(build_dim(keys, "region"), path, "dim_region"),
+        dim_platform=_write_dim(build_dim(keys, "platform"), path, "dim_platform"),
+        dim_segment=_write_dim(build_dim_segment(keys), path, "dim_segment"),
         fact=numbered,
     )
-    write_star(replace(dims, fact=build_fact(numbered, dims)), path, last_id)
+    _write_fact(build_fact(numbered, dims), path, last_id)
     remove_path(spark, staged)
     return read_star(spark, path)
 

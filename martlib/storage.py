@@ -7,6 +7,7 @@ falls back to a folder on this machine.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # Rows a side may have before it is no longer broadcast (about 100 MB of short rows).
 BROADCAST_ROWS = 1_000_000
 
+# Compressed bytes of input aimed at per range partition and staged file.
+PARTITION_BYTES = 128 * 1024 * 1024
+
 _local_fallback: dict[str, str] = {}
 
 
@@ -45,6 +49,17 @@ def write_through(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(table: DataFrame) -> int | None:
+    """Partitions a full copy of a table scan needs, from the size of its files.
+
+    None when the size is unknown; the session's shuffle settings apply then.
+    """
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > 2**60:
+        return None
+    return max(1, math.ceil(size / PARTITION_BYTES))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a table this package wrote itself."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
