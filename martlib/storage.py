@@ -54,7 +54,7 @@ def partitions_for(table: DataFrame) -> int | None:
 
     None when the size is unknown; the session's shuffle settings apply then.
     """
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > 2**60:
         return None
     return max(1, math.ceil(size / PARTITION_BYTES))

@@ -1,0 +1,90 @@
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from martlib import schemas as S
+from martlib.operators import maintain as M
+from martlib.operators.star import read_high_water, read_star
+
+ROWS = [
+    ("2019-03-25", "ASIA", "Retail", "C1", "New", 2, "100.00"),
+    ("2019-04-29", "ASIA", "Shopify", "F2", "New", 1, "50.00"),
+    ("2020-03-30", "USA", "Retail", None, "Guest", 3, "150.00"),
+]
+NEW = (date(2020, 7, 15), "USA", "Retail", "C1", "Guest", 3, Decimal("10.00"))
+
+
+@pytest.fixture
+def stored(star_of):
+    return star_of(ROWS)[1]
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame(list(rows), S.NEW_ROW)
+
+
+def ids_of(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "sales_id long")
+
+
+def facts(spark, path):
+    return {tuple(r) for r in read_star(spark, path).fact.collect()}
+
+
+def test_append_derives_and_numbers(spark, stored):
+    added, rejects = M.append_sales(spark, stored, batch(spark, NEW, NEW))
+    assert added == 2 and rejects.count() == 0
+    rows = read_star(spark, stored).fact.filter("sales_id > 3").orderBy("sales_id").collect()
+    assert [r.sales_id for r in rows] == [4, 5]
+    row = rows[0]
+    assert (row.week_number, row.month_number, row.calendar_year) == (29, 7, 2020)
+    assert row.avg_transaction == Decimal("3.33")
+
+
+@pytest.mark.parametrize(
+    "change, reason",
+    [
+        ({"region": "ATLANTIS"}, "unknown region"),
+        ({"platform": "Kiosk"}, "unknown platform"),
+        ({"segment": "Z9"}, "unknown segment"),
+        ({"transactions": 0}, "transactions"),
+        ({"transactions": None}, "transactions"),
+        ({"sales": Decimal("0.99")}, "sales"),
+        ({"customer_type": "Robot"}, "customer_type"),
+        ({"customer_type": None}, "customer_type"),
+        ({"week_date": None}, "week_date"),
+    ],
+)
+def test_append_rejects(spark, stored, change, reason):
+    bad = tuple(change.get(n, v) for n, v in zip(S.NEW_ROW.fieldNames(), NEW))
+    added, rejects = M.append_sales(spark, stored, batch(spark, bad, NEW))
+    assert added == 1
+    assert [r.reject_reason for r in rejects.collect()] == [reason]
+
+
+def test_append_then_delete_is_identity_and_ids_are_not_reused(spark, stored):
+    before = facts(spark, stored)
+    M.append_sales(spark, stored, batch(spark, NEW))
+    assert M.delete_sales(spark, stored, ids_of(spark, 4)) == 1
+    assert facts(spark, stored) == before
+    assert read_high_water(spark, stored) == 4
+    M.append_sales(spark, stored, batch(spark, NEW))
+    assert read_star(spark, stored).fact.agg(F.max("sales_id")).first()[0] == 5
+
+
+def test_delete_counts_only_existing_ids(spark, stored):
+    assert M.delete_sales(spark, stored, ids_of(spark, 1, 3, 1, 99)) == 2
+    left = read_star(spark, stored).fact.collect()
+    assert [r.sales_id for r in left] == [2]
+    assert M.delete_sales(spark, stored, ids_of(spark, 1)) == 0
+    assert M.delete_sales(spark, stored, ids_of(spark)) == 0
+
+
+def test_delete_leaves_other_years_untouched(spark, stored, tmp_path):
+    import glob
+
+    files = set(glob.glob(f"{stored}/fact_weekly_sales/calendar_year=2020/*.parquet"))
+    M.delete_sales(spark, stored, ids_of(spark, 1))
+    assert set(glob.glob(f"{stored}/fact_weekly_sales/calendar_year=2020/*.parquet")) == files
