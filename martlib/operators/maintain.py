@@ -16,7 +16,7 @@ from martlib.operators.star import (
     write_high_water,
 )
 from martlib.schemas import FACT
-from martlib.storage import new_path, remove_path
+from martlib.storage import BROADCAST_ROWS, new_path, remove_path
 
 # What an input form accepts.
 CUSTOMER_TYPES = ["New", "Existing", "Guest"]
@@ -97,34 +97,46 @@ def append_sales(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int,
     return top - last_id, rejects
 
 
-def matching(star: Star, ids: DataFrame) -> DataFrame:
-    """Fact rows whose id is listed. Ids follow the week, so the id range skips row groups."""
-    bounds = ids.agg(F.min("sales_id").alias("low"), F.max("sales_id").alias("high")).first()
-    if bounds.low is None:
-        return star.fact.limit(0)
-    in_range = star.fact.filter(F.col("sales_id").between(bounds.low, bounds.high))
-    return in_range.join(ids.select("sales_id"), "sales_id", "left_semi")
-
-
 def without_ids(fact: DataFrame, ids: DataFrame) -> DataFrame:
     """Fact rows whose id is not listed."""
     return fact.join(ids.select("sales_id"), "sales_id", "left_anti")
 
 
+def _survivors(fact: DataFrame, ids: DataFrame, listed: int) -> DataFrame:
+    """``without_ids`` that keeps the rows in id order.
+
+    A list of checked size is broadcast, which leaves the scan order alone. A longer one
+    is joined by shuffle, so the survivors are range-partitioned by id again.
+    """
+    if listed <= BROADCAST_ROWS:
+        return without_ids(fact, F.broadcast(ids))
+    left = without_ids(fact, ids)
+    return left.repartitionByRange("sales_id").sortWithinPartitions("sales_id")
+
+
 def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Delete by id list; returns the number of rows removed.
 
     Only the year partitions that hold a listed id are rewritten: survivors go to a new
     path first, then replace their partition, so nothing is overwritten while read.
     """
-    star = read_star(spark, path)
-    hit = matching(star, ids).groupBy("calendar_year").agg(F.count("*").alias("n")).collect()
+    fact = read_star(spark, path).fact
+    ids = ids.select("sales_id").distinct()
+    listed = ids.agg(
+        F.count("*").alias("n"), F.min("sales_id").alias("low"), F.max("sales_id").alias("high")
+    ).first()
+    if listed.n == 0:
+        return 0
+    # Ids follow the file order, so the id range skips row groups.
+    in_range = fact.filter(F.col("sales_id").between(listed.low, listed.high))
+    matches = in_range.join(ids, "sales_id", "left_semi")
+    hit = matches.groupBy("calendar_year").agg(F.count("*").alias("n")).collect()
     if not hit:
         return 0
     years = [row.calendar_year for row in hit]  # one entry per calendar year
     staged = new_path(spark, "survivors")
-    touched = star.fact.filter(F.col("calendar_year").isin(years))
-    without_ids(touched, ids).write.partitionBy("calendar_year").parquet(staged)
+    touched = fact.filter(F.col("calendar_year").isin(years))
+    _survivors(touched, ids, listed.n).write.partitionBy("calendar_year").parquet(staged)
     survivors = spark.read.schema(FACT).parquet(staged)
     for year in years:
         part = survivors.filter(F.col("calendar_year") == year).drop("calendar_year")

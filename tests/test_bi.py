@@ -104,6 +104,18 @@ def test_unmatched_segment_is_identified_and_lost_by_inner_joins(star):
     assert inner.agg(F.sum("sales")).first()[0] == 760 - 150
 
 
+def test_latest_rows_ignore_rows_without_a_dimension(star):
+    rows = bi.latest_rows(star, 3).collect()
+    assert [r.sales_id for r in rows] == [7, 6, 5]
+    orphan = star.fact.withColumn(
+        "region_id", F.when(F.col("sales_id") == 7, 99).otherwise(F.col("region_id"))
+    )
+    broken = Star(star.dim_region, star.dim_platform, star.dim_segment, orphan)
+    assert [r.sales_id for r in bi.latest_rows(broken, 3).collect()] == [6, 5, 4]
+    assert bi.latest_rows(star, 99).count() == 7
+    assert bi.latest_rows(Star(star.dim_region, star.dim_platform, star.dim_segment, star.fact.limit(0))).count() == 0
+
+
 def test_kpis(star):
     row = bi.kpi_summary(star).first()
     assert (row.total_sales, row.total_transactions, row.total_regions) == (760, 19, 2)

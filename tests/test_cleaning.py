@@ -1,4 +1,5 @@
-from datetime import date, timedelta
+import random
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -33,6 +34,34 @@ def test_dates(spark, text, expected):
     assert df.select(C.parse_week_date(F.col("t"))).first()[0] == expected
 
 
+def by_strptime(text):
+    for pattern in ["%d/%m/%y", "%Y-%m-%d", "%d/%m/%Y"]:
+        try:
+            return datetime.strptime(text.strip(), pattern).date()
+        except ValueError:
+            pass
+    return None
+
+
+def test_random_dates_match_strptime(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(4000):
+        d, m = rng.randint(0, 33), rng.randint(0, 13)
+        y4, y2 = rng.randint(1900, 2100), rng.randint(0, 99)
+        texts += [
+            f"{d}/{m}/{y2:02d}",
+            f"{d:02d}/{m:02d}/{y2:02d}",
+            f"{y4}-{m}-{d}",
+            f"{y4}-{m:02d}-{d:02d}",
+            f"{d:02d}/{m:02d}/{y4}",
+            f" {d}/{m}/{y4} ",
+        ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, d in df.select("t", C.parse_week_date(F.col("t"))).collect():
+        assert d == by_strptime(t), t
+
+
 def test_week_numbers_match_the_calendar(spark):
     days = [date(2017, 12, 25) + timedelta(days=i) for i in range(3 * 366 + 20)]
     df = spark.createDataFrame([(d,) for d in days], "d date").select(

@@ -1,3 +1,5 @@
+import glob
+import shutil
 from datetime import date
 from decimal import Decimal
 
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 
 from martlib import schemas as S
 from martlib.operators import maintain as M
-from martlib.operators.star import read_high_water, read_star
+from martlib.operators.star import build_star, read_high_water, read_star
+from martlib.sources.raw import write_raw_table
 
 ROWS = [
     ("2019-03-25", "ASIA", "Retail", "C1", "New", 2, "100.00"),
@@ -16,9 +19,17 @@ ROWS = [
 NEW = (date(2020, 7, 15), "USA", "Retail", "C1", "Guest", 3, Decimal("10.00"))
 
 
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    where = tmp_path_factory.mktemp("maintain")
+    raw = spark.createDataFrame([(*r[:6], Decimal(r[6])) for r in ROWS], S.RAW)
+    build_star(write_raw_table(raw, str(where / "raw")), str(where / "star"))
+    return where / "star"
+
+
 @pytest.fixture
-def stored(star_of):
-    return star_of(ROWS)[1]
+def stored(built, tmp_path):
+    return str(shutil.copytree(built, tmp_path / "star"))
 
 
 def batch(spark, *rows):
@@ -82,9 +93,16 @@ def test_delete_counts_only_existing_ids(spark, stored):
     assert M.delete_sales(spark, stored, ids_of(spark)) == 0
 
 
-def test_delete_leaves_other_years_untouched(spark, stored, tmp_path):
-    import glob
+def test_long_id_lists_are_joined_by_shuffle(spark, stored, monkeypatch, plan_of):
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 1)
+    fact = read_star(spark, stored).fact
+    assert "Broadcast" in plan_of(M._survivors(fact, ids_of(spark, 1), 1))
+    assert "rangepartitioning(sales_id" in plan_of(M._survivors(fact, ids_of(spark, 1, 3), 2))
+    assert M.delete_sales(spark, stored, ids_of(spark, 1, 3)) == 2
+    assert [r.sales_id for r in read_star(spark, stored).fact.collect()] == [2]
 
+
+def test_delete_leaves_other_years_untouched(spark, stored, tmp_path):
     files = set(glob.glob(f"{stored}/fact_weekly_sales/calendar_year=2020/*.parquet"))
     M.delete_sales(spark, stored, ids_of(spark, 1))
     assert set(glob.glob(f"{stored}/fact_weekly_sales/calendar_year=2020/*.parquet")) == files
