@@ -130,11 +130,20 @@ def evaluate(scored: DataFrame, backtest: DataFrame, pred: str) -> tuple[DataFra
 
 
 def stream_table(per_stream: DataFrame, platform: str) -> DataFrame:
-    """The per-series table of one platform, best first."""
+    """The per-series table of one platform as it is shown in reports."""
+    verdict = F.when(F.col("beat_naive"), "Yes").otherwise("No")
     return (
         per_stream.filter(F.col("platform") == platform)
-        .select("region", "model_wape", "naive_wape", "beat_naive", "r2", "mae_m", "mean_sales_m")
-        .orderBy("model_wape", "region")
+        .select(
+            "stream",
+            "r2",
+            "model_wape",
+            "naive_wape",
+            "mae_m",
+            "mean_sales_m",
+            verdict.alias("beats_naive"),
+        )
+        .orderBy("stream")
     )
 
 

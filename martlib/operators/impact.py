@@ -76,6 +76,10 @@ def period_impact_by(
     )
 
 
+def window_label(side: str, weeks: tuple[int, int]) -> str:
+    return f"{side} Change (Weeks {weeks[0]}\u2013{weeks[1]})"
+
+
 def fixed_window_impact(
     star: Star, year: int, before: tuple[int, int], after: tuple[int, int], digits: int = 2
 ) -> DataFrame:
@@ -84,8 +88,8 @@ def fixed_window_impact(
         (F.col("calendar_year") == year) & F.col("week_number").between(before[0], after[1])
     ).withColumn(
         "period",
-        F.when(F.col("week_number").between(*before), f"Before (Weeks {before[0]}-{before[1]})")
-        .otherwise(f"After (Weeks {after[0]}-{after[1]})"),
+        F.when(F.col("week_number").between(*before), window_label("Before", before))
+        .otherwise(window_label("After", after)),
     )
     totals = rollup_sum(star, ["period"], ["sales", "transactions"], fact=fact).select(
         "period",

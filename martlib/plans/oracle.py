@@ -442,7 +442,8 @@ _grouped(
 )
 
 for key, low, high in (("packaging_window_12", 13, 36), ("packaging_window_4", 21, 28)):
-    before, after = f"Before (Weeks {low}-24)", f"After (Weeks 25-{high})"
+    before = f"Before Change (Weeks {low}\u201324)"
+    after = f"After Change (Weeks 25\u2013{high})"
     _add(
         key,
         f"""SELECT CASE WHEN week_number <= 24 THEN '{before}' ELSE '{after}' END AS period,
@@ -590,9 +591,10 @@ _add(
 _add(
     "naive_stream_table",
     PER_STREAM
-    + """SELECT region, round(wape, 6) AS model_wape, round(wape, 6) AS naive_wape,
-                false AS beat_naive, round(r2, 6) AS r2, round(mae, 6) AS mae_m,
-                round(mean_sales, 6) AS mean_sales_m
+    + """SELECT region || ' (' || platform || ')' AS stream, round(r2, 6) AS r2,
+                round(wape, 6) AS model_wape, round(wape, 6) AS naive_wape,
+                round(mae, 6) AS mae_m, round(mean_sales, 6) AS mean_sales_m,
+                'No' AS beats_naive
          FROM per_stream WHERE platform = 'Retail'""",
     panel=True,
 )

@@ -175,8 +175,8 @@ def test_fixed_windows(star):
     made = impact.fixed_window_impact(star, 2020, (21, 24), (25, 28)).collect()
     got = {r.period: (r.total_sales, r.total_transactions, r.avg_transaction) for r in made}
     assert got == {
-        "Before (Weeks 21-24)": (80, 4, Decimal("20.00")),
-        "After (Weeks 25-28)": (80, 5, Decimal("16.00")),
+        "Before Change (Weeks 21\u201324)": (80, 4, Decimal("20.00")),
+        "After Change (Weeks 25\u201328)": (80, 5, Decimal("16.00")),
     }
     kpis = impact.fixed_window_kpis(star, 2020, (21, 24), (25, 28)).first()
     assert tuple(kpis) == (80, 80, 0, 0.0)

@@ -41,7 +41,7 @@ def test_per_stream_and_summary(scored):
     row = E.stream_summary(per).first()
     assert tuple(row) == (0.75, 0.75, 1, 2)
     table = E.stream_table(per, "Retail").collect()
-    assert [r.region for r in table] == ["ASIA"]
+    assert [(r.stream, r.beats_naive) for r in table] == [("ASIA (Retail)", "Yes")]
 
 
 def test_all_zero_actuals_give_null(spark):

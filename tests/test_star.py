@@ -1,10 +1,13 @@
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from martlib import schemas as S
 from martlib.operators import ids
 from martlib.operators.star import (
     Star,
+    build_star,
     check_constraints,
     mart,
     read_high_water,
@@ -13,6 +16,7 @@ from martlib.operators.star import (
     verify_counts,
     write_star,
 )
+from martlib.sources.raw import write_raw_table
 
 ROWS = [
     ("31/8/20", " usa", "Shopify", "f1", "Guest", 3, "30.00"),
@@ -22,8 +26,16 @@ ROWS = [
 ]
 
 
-def test_build(spark, star_of):
-    star, path = star_of(ROWS)
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    where = tmp_path_factory.mktemp("star")
+    raw = spark.createDataFrame([(*r[:6], Decimal(r[6])) for r in ROWS], S.RAW)
+    path = str(where / "star")
+    return build_star(write_raw_table(raw, str(where / "raw")), path), path
+
+
+def test_build(spark, built):
+    star, path = built
     assert [tuple(r) for r in star.dim_region.orderBy("region_id").collect()] == [
         (1, "ASIA"),
         (2, "USA"),
@@ -59,22 +71,22 @@ def test_iso_rule(star_of):
     assert star.fact.first().week_number == 13
 
 
-def test_write_star_round_trip(spark, star_of, tmp_path):
-    star, _ = star_of(ROWS)
+def test_write_star_round_trip(spark, built, tmp_path):
+    star, _ = built
     write_star(star, str(tmp_path / "copy"), 3)
     copy = read_star(spark, str(tmp_path / "copy"))
     assert sorted(copy.fact.collect()) == sorted(star.fact.collect())
 
 
-def test_views(spark, star_of):
-    star, _ = star_of(ROWS)
+def test_views(spark, built):
+    star, _ = built
     register_views(star)
     sql = "SELECT sum(sales) FROM clean_weekly_sales WHERE region = 'ASIA'"
     assert spark.sql(sql).first()[0] == Decimal("17.00")
 
 
-def test_year_filter_prunes_partitions(star_of, plan_of):
-    star, _ = star_of(ROWS)
+def test_year_filter_prunes_partitions(built, plan_of):
+    star, _ = built
     plan = plan_of(star.fact.filter("calendar_year = 2020").agg(F.sum("sales")))
     assert "PartitionFilters: [isnotnull(calendar_year" in plan
     assert "ReadSchema: struct<sales:decimal(14,2)>" in plan
@@ -101,8 +113,8 @@ def test_ids_are_gapless_and_ordered_with_a_pile_of_copies(spark, tmp_path):
     assert max(r.n for r in per_file) < 2 * 9000 / 8  # the copies were spread
 
 
-def test_constraint_violations_are_counted(spark, star_of):
-    star, _ = star_of(ROWS)
+def test_constraint_violations_are_counted(spark, built):
+    star, _ = built
     twice = star.fact.unionByName(star.fact.filter("sales_id = 1"))
     broken = twice.withColumn(
         "segment_id", F.when(F.col("sales_id") == 2, 99).otherwise(F.col("segment_id"))
