@@ -666,6 +666,14 @@ def naive_stream_summary(w):
     return evaluate.stream_summary(per_stream, DIGITS)
 
 
+@on_workspace
+def naive_constant(w):
+    """Test weeks beside the last training value of their series, numbered by step ahead."""
+    train, test = panel.split(w.features, W.SPLIT_DATE)
+    keys = [panel.DATE, *panel.SERIES, panel.TARGET]
+    return evaluate.naive_constant(train, test).select(*keys, "naive_constant", "step")
+
+
 @on_workspace
 def naive_step_summary(w):
     train, test = panel.split(w.features, W.SPLIT_DATE)

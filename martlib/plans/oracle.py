@@ -608,17 +608,27 @@ _add(
          FROM per_stream""",
     panel=True,
 )
-_add(
-    "naive_step_summary",
-    f""", last AS (SELECT region, platform, arg_max(sales, week_date) AS constant
-                 FROM train GROUP BY 1, 2),
+STEPPED = """, last AS (SELECT region, platform, arg_max(sales, week_date) AS constant
+                  FROM train GROUP BY 1, 2),
        stepped AS (
            SELECT test.*, constant,
                   row_number() OVER (PARTITION BY test.region, test.platform
                                      ORDER BY week_date) AS step
-           FROM test JOIN last ON test.region = last.region AND test.platform = last.platform),
-       sums AS (SELECT step, {NAIVE_WAPE} AS m, {WAPE.format(p='constant')} AS n
-                FROM stepped GROUP BY 1)
+           FROM test JOIN last ON test.region = last.region AND test.platform = last.platform)
+    """
+_add(
+    "naive_constant",
+    STEPPED
+    + """SELECT week_date, region, platform, sales, constant AS naive_constant,
+                CAST(step AS INTEGER) AS step
+         FROM stepped""",
+    panel=True,
+)
+_add(
+    "naive_step_summary",
+    STEPPED
+    + f""", sums AS (SELECT step, {NAIVE_WAPE} AS m, {WAPE.format(p='constant')} AS n
+                   FROM stepped GROUP BY 1)
        SELECT CAST(step AS INTEGER) AS step, round(m, 6) AS model_wape, round(n, 6) AS naive_wape,
               CASE WHEN m < n THEN 'model' ELSE 'naive' END AS winner, round(n - m, 6) AS edge
        FROM sums""",
