@@ -767,19 +767,6 @@ def _scored(w) -> DataFrame:
     return model.predict(w.model, w.split[1])
 
 
-def _backtest(w) -> DataFrame:
-    train, test = w.split
-    return forecast.backtest_recursive(
-        w.model, train, test, W.INTERVENTION_YEAR, W.INTERVENTION_WEEK
-    )
-
-
-def _forecast(w) -> DataFrame:
-    return forecast.forecast(
-        w.model, w.features, 12, W.INTERVENTION_YEAR, W.INTERVENTION_WEEK
-    )
-
-
 @on_workspace
 def gbt_predictions(w):
     keys = [panel.DATE, *panel.SERIES, panel.TARGET, evaluate.NAIVE, model.PREDICTION]
@@ -788,7 +775,7 @@ def gbt_predictions(w):
 
 @on_workspace
 def gbt_metrics(w):
-    return evaluate.evaluate(_scored(w), _backtest(w), model.PREDICTION)[0]
+    return evaluate.evaluate(_scored(w), w.backtest, model.PREDICTION)[0]
 
 
 @on_workspace
@@ -816,19 +803,24 @@ def gbt_grid_scores(w):
 
 @on_workspace
 def recursive_backtest(w):
-    return _backtest(w)
+    return w.run_backtest()
 
 
 @on_workspace
 def backtest_steps(w):
-    return evaluate.step_summary(_backtest(w), "recursive_pred", digits=DIGITS)
+    return evaluate.step_summary(w.backtest, "recursive_pred", digits=DIGITS)
 
 
 @on_workspace
 def forecast_12wk(w):
-    return _forecast(w)
+    return w.run_forecast()
+
+
+@on_workspace
+def forecast_total(w):
+    return forecast.forecast_total(w.forecasts, platform="Retail")
 
 
 @on_workspace
 def forecast_band(w):
-    return forecast.forecast_band(forecast.forecast_total(_forecast(w)))
+    return forecast.forecast_band(forecast.forecast_total(w.forecasts))

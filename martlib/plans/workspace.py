@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from martlib.operators import panel as P
+from martlib.operators.forecast import backtest_recursive, forecast
 from martlib.operators.model import GbtParams, fit_gbt
 from martlib.operators.star import Star, build_star, read_star
 from martlib.sources.adapter import weekly_sales_from_orders
@@ -67,6 +68,24 @@ class Workspace:
     def model(self):
         return fit_gbt(self.split[0], self.encoded[1], GbtParams())
 
+    @cached_property
+    def backtest(self) -> DataFrame:
+        """The recursive backtest as a table, for the reports made from it."""
+        return write_through(self.run_backtest(), "backtest")
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """The 12-week forecast as a table, for the reports made from it."""
+        return write_through(self.run_forecast(), "forecasts")
+
+    def run_backtest(self) -> DataFrame:
+        return backtest_recursive(
+            self.model, *self.split, in_year=INTERVENTION_YEAR, from_week=INTERVENTION_WEEK
+        )
+
+    def run_forecast(self) -> DataFrame:
+        return forecast(self.model, self.features, 12, INTERVENTION_YEAR, INTERVENTION_WEEK)
+
 
 _open: dict[tuple[str, str], Workspace] = {}
 

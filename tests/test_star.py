@@ -129,3 +129,11 @@ def test_constraint_violations_are_counted(spark, built):
         ("dim_platform", "unique_platform_id"): 1,
         ("dim_platform", "unique_platform_name"): 1,
     }
+
+
+def test_no_usable_row_gives_empty_tables(spark, star_of):
+    star, path = star_of(ROWS[3:])
+    assert [star.table(t).count() for t in ("dim_region", "dim_segment", "fact_weekly_sales")] == [0] * 3
+    assert read_high_water(spark, path) == 0
+    assert all(r.violations == 0 for r in check_constraints(star).collect())
+    assert {r.row_count for r in verify_counts(star).collect()} == {0}
