@@ -121,12 +121,12 @@ def horizon_metrics(backtest: DataFrame, digits: int = 2) -> DataFrame:
 def evaluate(scored: DataFrame, backtest: DataFrame, pred: str) -> tuple[DataFrame, DataFrame]:
     """(one-row metric bundle, per-series table)."""
     per_stream = per_stream_metrics(scored, pred)
-    # Three one-row frames side by side: each is a global aggregate, joined on a constant key.
-    parts = [pooled_metrics(scored, pred), stream_summary(per_stream), horizon_metrics(backtest)]
-    bundle = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        bundle = bundle.join(part.withColumn("_one", F.lit(1)), "_one")
-    return bundle.drop("_one"), per_stream
+    # One-row frames side by side: each further one is a single scalar subquery.
+    bundle = pooled_metrics(scored, pred)
+    for part in [stream_summary(per_stream), horizon_metrics(backtest)]:
+        row = part.select(F.struct(*part.columns)).scalar()
+        bundle = bundle.withColumn("_row", row).select(*bundle.columns, "_row.*")
+    return bundle, per_stream
 
 
 def stream_table(per_stream: DataFrame, platform: str) -> DataFrame:

@@ -156,6 +156,8 @@ def tune(
     spark = train.sparkSession
     train = train.cache()
     bounds = expanding_folds(train, folds).orderBy("fold").collect()  # one row per fold
+    if not bounds:
+        raise ValueError(f"tuning on {folds} folds needs at least {folds + 1} weeks")
     tree_counts = grid.get("trees", [GbtParams.trees])
     others = {k: v for k, v in grid.items() if k != "trees"}
     tasks = [

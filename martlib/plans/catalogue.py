@@ -741,16 +741,19 @@ def append_rejects(w):
     )
 
 
-@on_star
-def delete_sales(s):
-    """What is left per year after deleting the anchor week's guest rows by id."""
-    doomed = s.fact.filter(
+def _anchor_guest_ids(s: Star) -> DataFrame:
+    return s.fact.filter(
         (F.col("calendar_year") == ANCHOR.year)
         & (F.col("week_date") == F.lit(ANCHOR))
         & (F.col("customer_type") == "Guest")
     ).select("sales_id")
+
+
+@on_star
+def delete_sales(s):
+    """What is left per year after deleting the anchor week's guest rows by id."""
     return (
-        maintain.without_ids(s.fact, doomed)
+        maintain.without_ids(s.fact, _anchor_guest_ids(s))
         .groupBy("calendar_year")
         .agg(
             F.count("*").alias("row_count"),
@@ -760,6 +763,17 @@ def delete_sales(s):
     )
 
 
+@on_workspace
+def append_then_delete(w):
+    """The stored fact after appending a batch to a copy of the star and deleting by id."""
+    path = new_path(w.spark, "maintained")
+    star.write_star(w.star, path, star.read_high_water(w.spark, w.star_path))
+    maintain.append_sales(w.spark, path, _next_year_rows(w.star))
+    stored = star.read_star(w.spark, path)
+    maintain.delete_sales(w.spark, path, _anchor_guest_ids(stored))
+    return star.read_star(w.spark, path).fact
+
+
 # ---- boosted trees and recursive forecast ------------------------------------------
 
 
@@ -773,6 +787,16 @@ def gbt_predictions(w):
     return _scored(w).select(*keys)
 
 
+@on_workspace
+def saved_model_predictions(w):
+    """Predictions of the model after it was saved and loaded again."""
+    path = new_path(w.spark, "model")
+    model.save_model(w.model, path)
+    loaded = model.load_model(w.spark, path)
+    keys = [panel.DATE, *panel.SERIES, panel.TARGET, model.PREDICTION]
+    return model.predict(loaded, w.split[1]).select(*keys)
+
+
 @on_workspace
 def gbt_metrics(w):
     return evaluate.evaluate(_scored(w), w.backtest, model.PREDICTION)[0]

@@ -150,16 +150,14 @@ _add("csv_rows", f"SELECT {RAW_TEXT.format(region='lower(region)')} FROM clean")
 _add("dim_region", "SELECT * FROM regions")
 _add("dim_platform", "SELECT * FROM platforms")
 _add("dim_segment", "SELECT * FROM segments")
-_add(
-    "fact",
-    """SELECT sales_id, week_date, week_number, month_number, calendar_year,
+FACT = """SELECT sales_id, week_date, week_number, month_number, calendar_year,
               region_id, platform_id, segment_id, customer_type, transactions,
               CAST(cents AS DOUBLE) / 100 AS sales,
               CAST(avg_cents AS DOUBLE) / 100 AS avg_transaction
        FROM clean JOIN regions ON region = region_name
                   JOIN platforms ON platform = platform_name
-                  JOIN segments ON segment = segment_code""",
-)
+                  JOIN segments ON segment = segment_code"""
+_add("fact", FACT)
 _add(
     "mart",
     """SELECT sales_id, week_date, week_number, month_number, calendar_year,
@@ -665,10 +663,7 @@ NEXT_YEAR = """, batch AS (
                customer_type, transactions - 1 AS transactions, cents
         FROM clean WHERE calendar_year = (SELECT max(calendar_year) FROM clean))
     """
-_add(
-    "append_sales",
-    NEXT_YEAR
-    + """SELECT (SELECT count(*) FROM clean) + row_number() OVER (
+APPENDED = """SELECT (SELECT count(*) FROM clean) + row_number() OVER (
                     ORDER BY week_date, region, platform, segment, customer_type) AS sales_id,
                 week_date, CAST(strftime(week_date, '%W') AS INTEGER) + 1 AS week_number,
                 CAST(month(week_date) AS INTEGER) AS month_number,
@@ -680,7 +675,14 @@ _add(
          FROM batch JOIN regions ON region = region_name
                     JOIN platforms ON platform = platform_name
                     JOIN segments ON segment = segment_code
-         WHERE transactions >= 1 AND cents >= 100""",
+         WHERE transactions >= 1 AND cents >= 100"""
+_add("append_sales", NEXT_YEAR + APPENDED)
+_add(
+    "append_then_delete",
+    NEXT_YEAR
+    + FACT
+    + " WHERE NOT (week_date = DATE '1998-06-15' AND customer_type = 'Guest') UNION ALL "
+    + APPENDED,
 )
 _add(
     "append_rejects",

@@ -76,9 +76,11 @@ def test_weekly_totals_and_optional_filters(scored):
     assert E.history_total(scored, "ASIA", "Shopify").count() == 0
 
 
-def test_evaluate_bundle(scored, spark):
+def test_evaluate_bundle(scored, plan_of):
     backtest = scored.withColumnsRenamed({"y_pred": "recursive_pred", "naive_pred": "naive_constant"})
     bundle, per = E.evaluate(scored, backtest, "y_pred")
+    plan = plan_of(bundle)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     row = bundle.first()
     assert row.total_streams == per.count() == 2
     assert (row.multi_model_wape, row.multi_naive_wape) == (11.11, 17.78)

@@ -109,6 +109,13 @@ def test_tune_scores_prefixes_like_separate_fits(encoded):
     assert scored.mean_mae == pytest.approx(np.mean(errors), rel=1e-9)
 
 
+def test_tune_needs_enough_weeks(encoded):
+    frame, columns = encoded
+    few = frame.filter(F.col(P.DATE) >= F.lit(START + timedelta(weeks=54)))
+    with pytest.raises(ValueError):
+        M.tune(few, columns, {"trees": [1]}, folds=5)
+
+
 # ---- recursive forecast against a plain loop -----------------------------------------
 
 
