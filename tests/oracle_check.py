@@ -78,4 +78,5 @@ if __name__ == "__main__":
         except Exception as error:  # report and go on with the next query
             problems = [f"{type(error).__name__}: {str(error)[:600]}"]
         kind = "S" if key in sqls else "R"
-        print(f"{'ok  ' if not problems else 'FAIL'} {kind} {key} {time.time() - begin:.1f}s", *problems, flush=True)
+        state = "FAIL" if problems else "ok  "
+        print(f"{state} {kind} {key} {time.time() - begin:.1f}s", *problems, flush=True)

@@ -56,7 +56,10 @@ def test_naive_constant_and_steps(spark):
         "week_date date, region string, platform string, sales double",
     )
     test = spark.createDataFrame(
-        [(START + timedelta(weeks=3 + i), "A", "R", v, n) for i, (v, n) in enumerate([(4.0, 3.0), (6.0, 4.0)])],
+        [
+            (START + timedelta(weeks=3), "A", "R", 4.0, 3.0),
+            (START + timedelta(weeks=4), "A", "R", 6.0, 4.0),
+        ],
         "week_date date, region string, platform string, sales double, naive_pred double",
     )
     stepped = E.naive_constant(train, test)

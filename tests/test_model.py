@@ -1,4 +1,4 @@
-from datetime import date, timedelta
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from martlib.operators import forecast as FC
 from martlib.operators import model as M
 from martlib.operators import panel as P
-from martlib.operators.evaluate import NAIVE
 from martlib.storage import write_through
 
 from conftest import monday
@@ -220,7 +219,11 @@ def test_future_calendar_and_band(spark, panel):
     assert [r.week_number for r in rows] == [int(r.week_date.strftime("%W")) + 1 for r in rows]
 
     forecasts = spark.createDataFrame(
-        [(monday(2021, 2, 1), "A", "R", 1.0), (monday(2021, 2, 1), "B", "R", 2.0), (monday(2021, 2, 8), "A", "R", 5.0)],
+        [
+            (monday(2021, 2, 1), "A", "R", 1.0),
+            (monday(2021, 2, 1), "B", "R", 2.0),
+            (monday(2021, 2, 8), "A", "R", 5.0),
+        ],
         "week_date date, region string, platform string, forecast double",
     )
     totals = FC.forecast_total(forecasts)

@@ -89,7 +89,7 @@ def test_year_filter_prunes_partitions(built, plan_of):
     star, _ = built
     plan = plan_of(star.fact.filter("calendar_year = 2020").agg(F.sum("sales")))
     assert "PartitionFilters: [isnotnull(calendar_year" in plan
-    assert "ReadSchema: struct<sales:decimal(14,2)>" in plan
+    assert "ReadSchema: struct<sales:decimal(18,2)>" in plan
 
 
 def test_ids_are_gapless_and_ordered_with_a_pile_of_copies(spark, tmp_path):
