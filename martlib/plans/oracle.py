@@ -506,7 +506,7 @@ _add(
        SELECT region, platform, CAST(n AS BIGINT) AS week_count,
               CAST(s AS BIGINT) AS week_number_sum,
               round((SELECT sum(sales) FROM panel p
-                     WHERE p.region = w.region AND p.platform = w.platform), 6) AS sales
+                     WHERE p.region = w.region AND p.platform = w.platform), 8) AS sales
        FROM per_week w""",
     panel=True,
 )
