@@ -1,14 +1,13 @@
 """Where intermediate tables live, and how they are written and removed.
 
 Intermediate results go to the shared folder named by ``spark.checkpoint.dir``, so
-a lost executor never loses them. Only a local-mode session without that setting
-falls back to a folder on this machine.
+a lost executor never loses them; without that setting they go under the warehouse,
+which a cluster's machines share as well.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +20,11 @@ BROADCAST_ROWS = 1_000_000
 # Compressed bytes of input aimed at per range partition and staged file.
 PARTITION_BYTES = 128 * 1024 * 1024
 
-_local_fallback: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables of this application."""
     app = spark.sparkContext.applicationId
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        if app not in _local_fallback:
-            _local_fallback[app] = tempfile.mkdtemp(prefix="martlib-")
-        base = _local_fallback[app]
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/martlib/{app}"
 
 

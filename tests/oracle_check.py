@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+import os
 import time
 
 import duckdb
 
-TABLES = ["region", "nation", "customer", "orders"]
+TABLES = ["region", "nation", "customer", "orders", "documents", "pages", "benchmark", "labels"]
 
 
 def connect(sf_dir: str):
     db = duckdb.connect()
     for table in TABLES:
-        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+        path = f"{sf_dir}/{table}.parquet"
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
     return db
 
 
