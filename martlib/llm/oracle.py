@@ -31,3 +31,26 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN s USING (rid)
 """
+
+OP5 = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+        range(1, greatest(len(w) - 4, 0) + 2), lambda i: array_to_string(w[i : i + least(4, len(w)) - 1], ' '))) END AS sh
+    FROM d
+), g AS (SELECT min(doc_id) AS rep, list_sort(sh) AS sh FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh)),
+e AS (SELECT rep, len(sh) AS n, unnest(sh) AS x FROM g),
+p AS (
+    SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, reach) AS (SELECT rep, rep FROM g UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT node, min(reach) AS comp FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(comp, s.doc_id) AS component_id,
+    s.doc_id = coalesce(comp, s.doc_id) AS kept
+FROM s LEFT JOIN g ON list_sort(s.sh) = g.sh LEFT JOIN c ON c.node = g.rep
+"""

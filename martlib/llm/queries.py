@@ -1,12 +1,15 @@
 """Queries of the corpus operators and their SQL, added to the catalogue by the entry module."""
 
 from martlib.llm.decontaminate import op6_decontamination
-from martlib.llm.oracle import OP6
+from martlib.llm.neardup import op5_near_dedup
+from martlib.llm.oracle import OP5, OP6
 
 QUERIES = {
+    "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
 }
 
 ORACLE = {
+    "op5_near_dedup": OP5,
     "op6_decontamination": OP6,
 }
