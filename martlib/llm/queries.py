@@ -1,15 +1,19 @@
 """Queries of the corpus operators and their SQL, added to the catalogue by the entry module."""
 
+from martlib.llm import oracle
+from martlib.llm.counts import op7_token_counts
 from martlib.llm.decontaminate import op6_decontamination
 from martlib.llm.neardup import op5_near_dedup
-from martlib.llm.oracle import OP5, OP6
+from martlib.llm.packing import op10_packing
 
 QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_token_counts": op7_token_counts,
+    "op10_packing": op10_packing,
 }
 
 ORACLE = {
-    "op5_near_dedup": OP5,
-    "op6_decontamination": OP6,
+    "op5_near_dedup": oracle.OP5,
+    "op6_decontamination": oracle.OP6,
 }
