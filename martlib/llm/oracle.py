@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries of the corpus operators that SQL can express."""
 
+from martlib.llm.quality import DELTA, RISK, SIGNALS
+
+_SPACE = r"[\x20\x09-\x0D]+"
+
 OP6 = r"""
 WITH b AS (
     SELECT item_id, list_filter(string_split_regex(
@@ -54,3 +58,90 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(comp, s.doc_i
     s.doc_id = coalesce(comp, s.doc_id) AS kept
 FROM s LEFT JOIN g ON list_sort(s.sh) = g.sh LEFT JOIN c ON c.node = g.rep
 """
+
+
+def quality_sql(source: str) -> str:
+    """CTEs that end in ``judged``: every row of ``source`` with its counts and kept."""
+    level = f"{DELTA} / {len(SIGNALS)} / (SELECT greatest(1, count(DISTINCT lang)) FROM good)"
+    ladders = " UNION ALL ".join(
+        f"SELECT lang, '{s}' AS signal, step, c, count(*) AS n, "
+        f"count(*) FILTER ({count} * 1000 > {per} * c) AS k FROM good, "
+        f"(VALUES {', '.join(f'({i}, {c})' for i, c in enumerate(cutoffs))}) AS t(step, c) GROUP BY ALL"
+        for s, (count, per, cutoffs) in SIGNALS.items()
+    )
+    above = " OR ".join(
+        f"coalesce({count} * 1000 > {per} * (SELECT c FROM chosen x WHERE x.lang = coalesce(q.lang, '') AND x.signal = '{s}'), FALSE)"
+        for s, (count, per, _) in SIGNALS.items()
+    )
+    p = RISK / len(SIGNALS)
+    return rf"""
+src AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t FROM {source}),
+cut AS (
+    SELECT *, list_filter(string_split_regex(t, '{_SPACE}'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM src
+), win AS (
+    SELECT rid, i, array_to_string(w[i : i + 7], ' ') AS x
+    FROM cut, unnest(range(1, greatest(len(w) - 7, 0) + 1)) AS u(i)
+), twice AS (
+    SELECT rid, unnest(list(i)) AS i FROM win GROUP BY rid, x HAVING count(*) > 1
+), covered AS (
+    SELECT rid, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + 8)) AS u(j) GROUP BY rid
+), counted AS (
+    SELECT cut.*, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(t) - len(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(len(t) - len(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS n_capitals,
+        CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+        len(w) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(w) AS base_failed
+    FROM cut LEFT JOIN covered USING (rid)
+), good AS (
+    SELECT c.* REPLACE (coalesce(lang, '') AS lang) FROM counted c
+    WHERE NOT base_failed AND doc_id IN (
+        SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1)
+), ladder AS ({ladders}),
+tested AS (
+    SELECT *, k <= n * {p} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(
+        lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) <= {level} AS proven
+    FROM ladder
+), chosen AS (
+    SELECT lang, signal, max_by(c, step) AS c FROM tested t
+    WHERE step < (SELECT coalesce(min(step), 1000) FROM tested f WHERE f.lang = t.lang AND f.signal = t.signal AND NOT f.proven)
+    GROUP BY lang, signal
+), judged AS (SELECT q.*, NOT base_failed AND NOT ({above}) AS kept FROM counted q)
+"""
+
+
+OP4 = f"""WITH {quality_sql("documents")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
+"""
+
+
+def lines_sql(source: str, min_sites: int = 10) -> str:
+    """CTEs that end in ``relined``: rows of ``source`` with n_lines, n_removed, clean_text."""
+    return rf"""
+lsrc AS (SELECT *, row_number() OVER () AS lrid FROM {source}),
+ln AS (
+    SELECT lrid, doc_id, source, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM lsrc WHERE text IS NOT NULL
+), lw AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS word FROM ln),
+boil AS (
+    SELECT line, min(doc_id) AS first FROM lw WHERE word GROUP BY line HAVING count(DISTINCT source) >= {min_sites}
+), marked AS (
+    SELECT lw.*, boil.line IS NOT NULL AND word AND NOT (
+        doc_id IS NOT DISTINCT FROM first AND pos = min(pos) OVER (PARTITION BY lrid, lw.line)) AS gone
+    FROM lw LEFT JOIN boil ON lw.line = boil.line
+), rebuilt AS (
+    SELECT lrid, count(*) FILTER (word) AS n_lines, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t
+    FROM marked GROUP BY lrid
+), relined AS (
+    SELECT l.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+        CASE WHEN n_removed > 0 THEN t ELSE text END AS clean_text
+    FROM lsrc l LEFT JOIN rebuilt USING (lrid)
+)"""
+
+
+OP2 = f"""WITH {lines_sql("documents")}
+SELECT doc_id, n_lines, n_removed, sha256(clean_text) AS text_sha256 FROM relined
+"""

@@ -3,17 +3,25 @@
 from martlib.llm import oracle
 from martlib.llm.counts import op7_token_counts
 from martlib.llm.decontaminate import op6_decontamination
+from martlib.llm.lines import op2_line_dedup
 from martlib.llm.neardup import op5_near_dedup
 from martlib.llm.packing import op10_packing
+from martlib.llm.quality import op4_quality_rules
+from martlib.llm.substrings import op9_substring_dedup
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
 ORACLE = {
+    "op2_line_dedup": oracle.OP2,
+    "op4_quality_rules": oracle.OP4,
     "op5_near_dedup": oracle.OP5,
     "op6_decontamination": oracle.OP6,
 }
