@@ -6,11 +6,15 @@ from martlib.llm.decontaminate import op6_decontamination
 from martlib.llm.lines import op2_line_dedup
 from martlib.llm.neardup import op5_near_dedup
 from martlib.llm.packing import op10_packing
+from martlib.llm.pii import op3_pii_surrogates
 from martlib.llm.quality import op4_quality_rules
 from martlib.llm.substrings import op9_substring_dedup
+from martlib.llm.urls import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
