@@ -3,6 +3,7 @@
 from martlib.llm import oracle
 from martlib.llm.counts import op7_token_counts
 from martlib.llm.decontaminate import op6_decontamination
+from martlib.llm.language import op8_language_id
 from martlib.llm.lines import op2_line_dedup
 from martlib.llm.neardup import op5_near_dedup
 from martlib.llm.packing import op10_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
