@@ -1,0 +1,71 @@
+"""The pipeline against DuckDB for the stages SQL can express, and loops for the rest."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from martlib.llm import oracle
+
+from .test_neardup import brute as brute_groups
+from .test_tokens import check_packing
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute_force(sf_dir):
+    """Documents (doc_id, text) that packing is given."""
+    db = duckdb.connect()
+    for table in ("documents", "labels", "benchmark"):
+        db.execute(f"CREATE TABLE {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    judged = db.sql(f"WITH {oracle.quality_sql('documents')} SELECT doc_id, text, lang, source, n_chars FROM judged WHERE kept")
+    judged.create("good")
+    lined = db.sql(
+        f"WITH {oracle.lines_sql('good')} SELECT doc_id, clean_text AS text, lang, source FROM relined "
+        r"WHERE n_removed = 0 OR regexp_matches(clean_text, '[^\x20\x09-\x0D]')"
+    ).fetchall()
+    groups = brute_groups([(r[0], r[1]) for r in lined], 5)
+    first = {doc for doc, _, _, kept in groups if kept}
+    left = [r for r in lined if r[0] in first]
+    db.execute("DROP TABLE documents")
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", left)
+    bad = {r[0] for r in db.sql(oracle.OP6).fetchall() if r[5]}
+    return [(r[0], r[1]) for r in left if r[0] not in bad]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    from martlib.llm.tokens import default_tokenizer
+
+    return Tokenizer.from_file(default_tokenizer())
+
+
+def test_pipeline_against_brute_force(spark, tokenizer):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    docs = brute_force(SF)
+    assert 100 < len(docs) < 1000
+    check_packing(rows, docs, tokenizer)
+
+
+def test_stages_with_nulls_and_repeats(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [
+        (1, text, "en", "a", 9, 0), (1, text, "en", "a", 9, 0), (2, text + " end", None, None, None, 0), (None, other, "en", "b", 1, 0),
+        (4, None, "en", "b", 0, 0), (5, "", "en", "b", 0, 0), (6, other + " item words " + other[:200], "fr", "c", 1, 0),
+    ]
+    names = "doc_id long, text string, lang string, source string, n_chars long, kept int"
+    docs = spark.createDataFrame(rows, names)
+    spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"other{i}" for i in range(20))), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS
+    assert sorted(r.doc_id for r in docs.collect()) == [1]
+    assert corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    empty = spark.createDataFrame([], names)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.collect() == []
