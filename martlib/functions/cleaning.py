@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from martlib.schemas import UNIT_MONEY
+from martlib.schemas import MONEY
 
 UNKNOWN = "unknown"
 
+# Fixed value: what counts as white space at the ends of a text.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
 # Texts that mean "no segment given".
 MISSING_SEGMENT_TEXTS = ["null", "none", "", "nan"]
 
@@ -22,9 +25,14 @@ DEMOGRAPHICS = {"C": "Couples", "F": "Families"}
 PIVOT_YEAR = 2069
 
 
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def parse_week_date(c: Column) -> Column:
     """Date from day/month/2-digit-year, ISO or day/month/4-digit-year text; else null."""
-    text = F.trim(c)
+    text = stripped(c)
     short = F.try_to_date(text, "d/M/yy")
     short = F.when(F.year(short) >= PIVOT_YEAR, F.add_months(short, -1200)).otherwise(short)
     return (
@@ -61,7 +69,7 @@ def quarter(d: Column) -> Column:
 
 def segment_code(c: Column) -> Column:
     """Upper-cased trimmed code; null and null-like texts become ``unknown``."""
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text = stripped(F.coalesce(c, F.lit("")))
     return F.when(F.lower(text).isin(MISSING_SEGMENT_TEXTS), UNKNOWN).otherwise(F.upper(text))
 
 
@@ -79,21 +87,17 @@ def demographic(code: Column) -> Column:
 
 
 def upper_name(c: Column) -> Column:
-    return F.upper(F.trim(c))
+    return F.upper(stripped(c))
 
 
 def plain_name(c: Column) -> Column:
-    return F.trim(c)
+    return stripped(c)
 
 
 def avg_transaction(sales: Column, transactions: Column) -> Column:
     """Sales per transaction to two decimals, half-up on exact decimals; 0 without transactions.
 
-    A value too large for the column type becomes null, so one odd row is rejected
-    instead of failing the job.
+    A quotient by one or more is no larger than the sales, so it fits their type.
     """
     per_unit = F.round(F.try_divide(sales, transactions.cast("decimal(20,0)")), 2)
-    return (
-        F.when(transactions > 0, per_unit.try_cast(UNIT_MONEY))
-        .otherwise(F.lit(0).cast(UNIT_MONEY))
-    )
+    return F.when(transactions > 0, per_unit.cast(MONEY)).otherwise(F.lit(0).cast(MONEY))

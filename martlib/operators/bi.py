@@ -135,19 +135,21 @@ def top_k(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(value), key).limit(k)
 
 
-def latest_rows(star: Star, k: int = 50) -> DataFrame:
+def latest_rows(star: Star, k: int = 50, last_id: int | None = None) -> DataFrame:
     """The ``k`` rows of the analytical view with the highest ids.
 
-    A first pass over ids and keys alone finds the lowest id of the answer. Ids follow
-    the file order, so that bound lets the wide second scan skip almost every row group.
+    ``last_id`` is the highest id ever given (see ``read_high_water``). Ids follow the file
+    order, so a bound just below it skips almost every row group; where deletes or missing
+    dimension rows leave too few rows above it, it is lowered in growing steps.
     """
-    keys = star.fact.select("sales_id", "region_id", "platform_id", "segment_id")
-    for dim in star.dims().values():
-        keys = keys.join(dim, dim.columns[0], "left_semi")
-    newest = keys.select("sales_id").orderBy(F.desc("sales_id")).limit(k)
-    lowest = newest.agg(F.min("sales_id")).scalar()
-    bounded = replace(star, fact=star.fact.filter(F.col("sales_id") >= lowest))
-    return mart(bounded).orderBy(F.desc("sales_id")).limit(k)
+    if last_id is None:
+        last_id = star.fact.agg(F.max("sales_id")).first()[0] or 0
+    width = k
+    while True:
+        newest = replace(star, fact=star.fact.filter(F.col("sales_id") > last_id - width))
+        if width >= last_id or mart(newest).limit(k).count() == k:
+            return mart(newest).orderBy(F.desc("sales_id")).limit(k)
+        width *= 8
 
 
 def kpi_summary(star: Star, digits: int = 2) -> DataFrame:

@@ -68,7 +68,6 @@ def reject_reason():
         .when(F.col("customer_type").isNull(), "customer_type")
         .when(F.col("transactions").isNull(), "transactions")
         .when(F.col("sales").isNull(), "sales")
-        .when(F.col("avg_transaction").isNull(), "avg_transaction")
     )
 
 

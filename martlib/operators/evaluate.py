@@ -129,11 +129,11 @@ def evaluate(scored: DataFrame, backtest: DataFrame, pred: str) -> tuple[DataFra
     return bundle, per_stream
 
 
-def stream_table(per_stream: DataFrame, platform: str) -> DataFrame:
-    """The per-series table of one platform as it is shown in reports."""
+def stream_table(per_stream: DataFrame, platform: str | None = None) -> DataFrame:
+    """The per-series table of one platform, or of all, as it is shown in reports."""
     verdict = F.when(F.col("beat_naive"), "Yes").otherwise("No")
     return (
-        per_stream.filter(F.col("platform") == platform)
+        select_market(per_stream, platform=platform)
         .select(
             "stream",
             "r2",

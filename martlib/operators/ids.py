@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlib.storage import BROADCAST_ROWS, new_path
+from martlib.storage import new_path
 
 TIE = "_tie"
 
@@ -31,8 +31,8 @@ def number_rows(
     Pass 1 range-partitions and sorts the rows and writes them to the shared folder.
     Pass 2 reads them back: a row's id is the number of rows in the files before its
     own plus its position in that file. No task ever holds one key's rows as a group,
-    ids cannot change after the staged files exist, and what is broadcast has one row
-    per staged file. The caller may remove the staged path once the result is stored.
+    ids cannot change after the staged files exist, and what is joined has one row per
+    staged file. The caller may remove the staged path once the result is stored.
     ``partitions`` sizes the range shuffle; None leaves it to the session and AQE.
     """
     spark = df.sparkSession
@@ -56,8 +56,6 @@ def number_rows(
     offsets = sizes.select(
         "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    if len(scan.inputFiles()) <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     numbered = staged.join(offsets, "_file").select(
         (F.col("_before") + F.col("_row") + F.lit(start + 1)).cast("long").alias(id_column),
         *schema_df.columns,

@@ -83,13 +83,15 @@ def window_label(side: str, weeks: tuple[int, int]) -> str:
 def fixed_window_impact(
     star: Star, year: int, before: tuple[int, int], after: tuple[int, int], digits: int = 2
 ) -> DataFrame:
-    """Sales, transactions and order value of two adjoining fixed week ranges of one year."""
+    """Sales, transactions and order value of two fixed week ranges of one year."""
+    week = F.col("week_number")
     fact = star.fact.filter(
-        (F.col("calendar_year") == year) & F.col("week_number").between(before[0], after[1])
+        (F.col("calendar_year") == year) & (week.between(*before) | week.between(*after))
     ).withColumn(
         "period",
-        F.when(F.col("week_number").between(*before), window_label("Before", before))
-        .otherwise(window_label("After", after)),
+        F.when(week.between(*before), window_label("Before", before)).otherwise(
+            window_label("After", after)
+        ),
     )
     totals = rollup_sum(star, ["period"], ["sales", "transactions"], fact=fact).select(
         "period",

@@ -16,7 +16,7 @@ from martlib.operators.star import (
     write_high_water,
 )
 from martlib.schemas import FACT
-from martlib.storage import BROADCAST_ROWS, new_path, remove_path
+from martlib.storage import new_path, remove_path, replace_partitions, write_through
 
 # What an input form accepts.
 CUSTOMER_TYPES = ["New", "Existing", "Guest"]
@@ -61,7 +61,6 @@ def derive_new_facts(
         F.when(F.col("region_id").isNull(), "unknown region")
         .when(F.col("platform_id").isNull(), "unknown platform")
         .when(F.col("segment_id").isNull(), "unknown segment")
-        .when(F.col("avg_transaction").isNull(), "avg_transaction")
     )
     marked = keyed.withColumn("reject_reason", reason)
     unmatched = marked.filter(F.col("reject_reason").isNotNull())
@@ -88,6 +87,8 @@ def append_sales(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int,
     """
     last_id = read_high_water(spark, path)
     facts, rejects, top, staged = new_facts(read_star(spark, path), rows, last_id)
+    # Judged before the append, so later changes of the caller's rows do not show.
+    rejects = write_through(rejects, "append-rejects")
     if top > last_id:
         write_high_water(spark, path, top)
         facts.write.mode("append").partitionBy("calendar_year").parquet(
@@ -102,23 +103,12 @@ def without_ids(fact: DataFrame, ids: DataFrame) -> DataFrame:
     return fact.join(ids.select("sales_id"), "sales_id", "left_anti")
 
 
-def _survivors(fact: DataFrame, ids: DataFrame, listed: int) -> DataFrame:
-    """``without_ids`` that keeps the rows in id order.
-
-    A list of checked size is broadcast, which leaves the scan order alone. A longer one
-    is joined by shuffle, so the survivors are range-partitioned by id again.
-    """
-    if listed <= BROADCAST_ROWS:
-        return without_ids(fact, F.broadcast(ids))
-    left = without_ids(fact, ids)
-    return left.repartitionByRange("sales_id").sortWithinPartitions("sales_id")
-
-
 def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Delete by id list; returns the number of rows removed.
 
-    Only the year partitions that hold a listed id are rewritten: survivors go to a new
-    path first, then replace their partition, so nothing is overwritten while read.
+    Only the year partitions that hold a listed id are rewritten, once and in one job:
+    survivors of all years go to a new path, then their folders are put in place of the
+    old ones by renaming. A job that dies while writing leaves the table as it was.
     """
     fact = read_star(spark, path).fact
     ids = ids.select("sales_id").distinct()
@@ -136,10 +126,8 @@ def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
     years = [row.calendar_year for row in hit]  # one entry per calendar year
     staged = new_path(spark, "survivors")
     touched = fact.filter(F.col("calendar_year").isin(years))
-    _survivors(touched, ids, listed.n).write.partitionBy("calendar_year").parquet(staged)
-    survivors = spark.read.schema(FACT).parquet(staged)
-    for year in years:
-        part = survivors.filter(F.col("calendar_year") == year).drop("calendar_year")
-        part.write.mode("overwrite").parquet(f"{path}/fact_weekly_sales/calendar_year={year}")
+    left = without_ids(touched, ids).repartitionByRange("calendar_year", "sales_id")
+    left.sortWithinPartitions("calendar_year", "sales_id").write.partitionBy("calendar_year").parquet(staged)
+    replace_partitions(spark, staged, f"{path}/fact_weekly_sales", "calendar_year", years)
     remove_path(spark, staged)
     return sum(row.n for row in hit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlib import schemas as S
@@ -46,9 +46,8 @@ class Star:
 
 
 def _numbered_dim(keys: DataFrame, id_column: str, order_by: str) -> DataFrame:
-    # One row per distinct natural key, so the unpartitioned window is dimension-sized.
-    row = F.row_number().over(Window.orderBy(order_by)).cast("int")
-    return keys.select(row.alias(id_column), *keys.columns)
+    numbered, _, _ = number_rows(keys, [order_by], id_column)
+    return numbered.withColumn(id_column, F.col(id_column).cast("int"))
 
 
 def build_dim(clean: DataFrame, column: str) -> DataFrame:
@@ -93,7 +92,7 @@ def write_star(star: Star, path: str, last_id: int) -> None:
 
 
 def _write_dim(df: DataFrame, path: str, name: str) -> DataFrame:
-    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 

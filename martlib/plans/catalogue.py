@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martlib.functions import cleaning as C
 from martlib.functions.measures import percent, ratio
 from martlib.operators import bi, evaluate, forecast, impact, maintain, model, panel, quality, star
 from martlib.operators.clean import clean_weekly_sales, split_rejects
@@ -108,6 +109,24 @@ def csv_rows(w):
     return raw_sources.read_raw_csv(w.spark, path)
 
 
+@on_workspace
+def csv_reordered_rows(w):
+    """Clean rows from a CSV with other columns' order, tabs and whole numbers as fractions."""
+    path = new_path(w.spark, "csv-reordered")
+    text = w.raw.select(
+        F.lit("x").alias("note"),
+        F.concat(F.lit("\t"), "region").alias("region"),
+        "sales",
+        F.concat(F.col("transactions").cast("string"), F.lit(".0")).alias("transactions"),
+        F.concat(F.lit("\t"), "segment", F.lit("\t")).alias("segment"),
+        "customer_type",
+        F.concat("platform", F.lit(" \t")).alias("platform"),
+        F.concat(F.lit("\t"), "week_date").alias("week_date"),
+    )
+    raw_sources.write_csv(text, path)
+    return clean_weekly_sales(raw_sources.read_raw_csv(w.spark, path)).drop("raw_week_date")
+
+
 @on_star
 def dim_region(s):
     return s.dim_region
@@ -146,14 +165,16 @@ def constraint_violations(s):
 @on_workspace
 def week_number_rules(w):
     """Both week rules beside each other for every week in the data."""
-    made = {
-        rule: clean_weekly_sales(w.raw, rule)
-        .select("week_date", F.col("week_number").alias(rule), "month_number", "calendar_year")
-        .distinct()
-        for rule in ["monday_w1", "iso"]
-    }
-    iso = made["iso"].select("week_date", "iso")
-    return made["monday_w1"].join(iso, "week_date").withColumn("quarter", F.quarter("week_date"))
+    weeks = clean_weekly_sales(w.raw).select("week_date").distinct()
+    d = F.col("week_date")
+    return weeks.select(
+        d,
+        C.week_number(d, "monday_w1").alias("monday_w1"),
+        C.month_number(d).alias("month_number"),
+        C.calendar_year(d).alias("calendar_year"),
+        C.week_number(d, "iso").alias("iso"),
+        C.quarter(d).alias("quarter"),
+    )
 
 
 # ---- advanced insights -------------------------------------------------------------
@@ -576,9 +597,10 @@ def dim_listings(s):
     )
 
 
-@on_star
-def recent_records(s):
-    return bi.latest_rows(s, 50).select(
+@on_workspace
+def recent_records(w):
+    last_id = star.read_high_water(w.spark, w.star_path)
+    return bi.latest_rows(w.star, 50, last_id).select(
         "sales_id",
         "week_date",
         F.col("region").alias("region_name"),
@@ -687,21 +709,35 @@ def naive_step_summary(w):
 @on_workspace
 def naive_stream_table(w):
     per_stream = evaluate.per_stream_metrics(_test(w), evaluate.NAIVE, digits=DIGITS)
-    return evaluate.stream_table(per_stream, "Retail")
+    return evaluate.stream_table(per_stream)
 
 
-@on_workspace
-def naive_actual_vs_pred(w):
-    sums = evaluate.actual_vs_pred(_test(w), evaluate.NAIVE, platform="Retail")
+def _rounded_pairs(sums: DataFrame) -> DataFrame:
     return sums.select(
-        panel.DATE, F.round("sales", 9).alias("sales"), F.round("y_pred", 9).alias("y_pred")
+        panel.DATE, F.round("sales", DIGITS).alias("sales"), F.round("y_pred", DIGITS).alias("y_pred")
     )
 
 
+@on_workspace
+def naive_actual_vs_pred(w):
+    return _rounded_pairs(evaluate.actual_vs_pred(_test(w), evaluate.NAIVE))
+
+
+@on_workspace
+def naive_actual_vs_pred_retail(w):
+    return _rounded_pairs(evaluate.actual_vs_pred(_test(w), evaluate.NAIVE, platform="Retail"))
+
+
 @on_workspace
 def history_total(w):
+    sums = evaluate.history_total(w.features)
+    return sums.select(panel.DATE, F.round("sales", DIGITS).alias("sales"))
+
+
+@on_workspace
+def history_total_asia(w):
     sums = evaluate.history_total(w.features, region="ASIA")
-    return sums.select(panel.DATE, F.round("sales", 9).alias("sales"))
+    return sums.select(panel.DATE, F.round("sales", DIGITS).alias("sales"))
 
 
 @on_workspace
@@ -845,6 +881,11 @@ def forecast_12wk(w):
 
 @on_workspace
 def forecast_total(w):
+    return forecast.forecast_total(w.forecasts)
+
+
+@on_workspace
+def forecast_total_retail(w):
     return forecast.forecast_total(w.forecasts, platform="Retail")
 
 

@@ -131,6 +131,7 @@ CLEAN = """week_date, week_number, month_number, calendar_year, region, platform
     segment AS segment_code, demographic, age_band, customer_type, transactions,
     CAST(cents AS DOUBLE) / 100 AS sales, CAST(avg_cents AS DOUBLE) / 100 AS avg_transaction"""
 _add("clean_rows", f"SELECT {CLEAN} FROM clean")
+_add("csv_reordered_rows", f"SELECT {CLEAN} FROM clean")
 _grouped(
     "reject_rows",
     "region",
@@ -593,7 +594,7 @@ _add(
                 round(wape, 6) AS model_wape, round(wape, 6) AS naive_wape,
                 round(mae, 6) AS mae_m, round(mean_sales, 6) AS mean_sales_m,
                 'No' AS beats_naive
-         FROM per_stream WHERE platform = 'Retail'""",
+         FROM per_stream""",
     panel=True,
 )
 _add(
@@ -634,13 +635,24 @@ _add(
 )
 _add(
     "naive_actual_vs_pred",
-    """SELECT week_date, round(sum(sales), 9) AS sales, round(sum(naive_pred), 9) AS y_pred
+    """SELECT week_date, round(sum(sales), 6) AS sales, round(sum(naive_pred), 6) AS y_pred
+       FROM test GROUP BY 1""",
+    panel=True,
+)
+_add(
+    "naive_actual_vs_pred_retail",
+    """SELECT week_date, round(sum(sales), 6) AS sales, round(sum(naive_pred), 6) AS y_pred
        FROM test WHERE platform = 'Retail' GROUP BY 1""",
     panel=True,
 )
 _add(
     "history_total",
-    """SELECT week_date, round(sum(sales), 9) AS sales
+    "SELECT week_date, round(sum(sales), 6) AS sales FROM features GROUP BY 1",
+    panel=True,
+)
+_add(
+    "history_total_asia",
+    """SELECT week_date, round(sum(sales), 6) AS sales
        FROM features WHERE region = 'ASIA' GROUP BY 1""",
     panel=True,
 )

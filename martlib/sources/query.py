@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A quoted literal, or a %s marker outside one.
-_MARKER = re.compile(r"'(?:[^']|'')*'|%s")
+# A quoted literal or name, a comment, or a %s marker outside all of them.
+_MARKER = re.compile(
+    r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|%s""", re.DOTALL
+)
 
 
 def run_query(
@@ -17,7 +19,7 @@ def run_query(
     """A lazy DataFrame for ``sql``.
 
     Positional parameters bind to ``?`` or ``%s`` markers, a mapping to ``:name`` markers.
-    ``%s`` inside a quoted literal is left alone.
+    ``%s`` inside quotes, backticks or a comment is left alone.
     """
     if params is None:
         return spark.sql(sql)

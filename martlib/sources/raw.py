@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from martlib.functions.cleaning import WHITE_SPACE, stripped
 from martlib.schemas import RAW
 from martlib.storage import path_exists
 
@@ -22,9 +24,32 @@ CSV_OPTIONS = {
 DUMP_TUPLE = r"\(" + r",\s*".join(["'([^']+)'"] * len(RAW.fields)) + r"\)"
 
 
+def typed_raw(text: DataFrame) -> DataFrame:
+    """The raw columns from text columns of the same names.
+
+    Whole numbers may be written with a fraction of zeros. A value that does not fit its
+    type becomes null.
+    """
+    made = []
+    for field in RAW.fields:
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.LongType):
+            exact = stripped(value).try_cast("decimal(38,9)")
+            value = F.when(exact == F.floor(exact), exact)
+        elif isinstance(field.dataType, T.DecimalType):
+            value = stripped(value)
+        made.append(value.try_cast(field.dataType).alias(field.name))
+    return text.select(*made)
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header row. A value that does not fit its type reads as null."""
-    return spark.read.schema(RAW).options(**CSV_OPTIONS).csv(path)
+    """CSV with a header row; columns are taken by name, in any order, others are ignored."""
+    text = spark.read.options(**CSV_OPTIONS).csv(path)
+    names = {c.strip(WHITE_SPACE).lower(): c for c in text.columns}
+    missing = [name for name in RAW.fieldNames() if name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return typed_raw(text.select(*[F.col(f"`{names[n]}`").alias(n) for n in RAW.fieldNames()]))
 
 
 def read_raw_sqldump(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +65,7 @@ def read_raw_sqldump(spark: SparkSession, path: str) -> DataFrame:
         for i, field in enumerate(RAW.fields)
     ]
     rows = tuples.select(*fields).withColumn("region", F.upper("region"))
-    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in RAW.fields])
+    return typed_raw(rows)
 
 
 def resolve_raw(spark: SparkSession, csv_path: str, dump_path: str) -> DataFrame:

@@ -188,3 +188,10 @@ def test_catalogue_keys_cover_the_blueprint():
 
     assert set(ORACLE) <= set(catalogue.QUERIES)
     assert len(catalogue.QUERIES) >= 80
+
+
+def test_fixed_windows_with_a_gap_between_them(star):
+    made = impact.fixed_window_impact(star, 2020, (20, 21), (27, 28)).collect()
+    kpis = impact.fixed_window_kpis(star, 2020, (20, 21), (27, 28)).first()
+    got = {r.period.split()[0]: r.total_sales for r in made}
+    assert (got.get("Before"), got.get("After")) == (kpis.before_sales, kpis.after_sales)

@@ -93,13 +93,25 @@ def test_delete_counts_only_existing_ids(spark, stored):
     assert M.delete_sales(spark, stored, ids_of(spark)) == 0
 
 
-def test_long_id_lists_are_joined_by_shuffle(spark, stored, monkeypatch, plan_of):
-    monkeypatch.setattr(M, "BROADCAST_ROWS", 1)
+def test_delete_that_dies_while_writing_leaves_the_table(spark, stored, monkeypatch):
+    before = facts(spark, stored)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(M, "replace_partitions", broken)
+    with pytest.raises(RuntimeError):
+        M.delete_sales(spark, stored, ids_of(spark, 1, 3))
+    assert facts(spark, stored) == before
+
+
+def test_delete_of_a_whole_year_removes_its_folder(spark, stored):
     fact = read_star(spark, stored).fact
-    assert "Broadcast" in plan_of(M._survivors(fact, ids_of(spark, 1), 1))
-    assert "rangepartitioning(sales_id" in plan_of(M._survivors(fact, ids_of(spark, 1, 3), 2))
-    assert M.delete_sales(spark, stored, ids_of(spark, 1, 3)) == 2
-    assert [r.sales_id for r in read_star(spark, stored).fact.collect()] == [2]
+    year = fact.agg(F.max("calendar_year")).first()[0]
+    doomed = fact.filter(F.col("calendar_year") == year).select("sales_id")
+    assert M.delete_sales(spark, stored, doomed) > 0
+    assert not glob.glob(f"{stored}/fact_weekly_sales/calendar_year={year}*")
+    assert not glob.glob(f"{stored}/fact_weekly_sales/_replaced*")
 
 
 def test_delete_leaves_other_years_untouched(spark, stored, tmp_path):

@@ -85,3 +85,39 @@ def test_run_query(spark, sql, params):
 def test_run_query_binds_values_not_text(spark):
     spark.createDataFrame([("a",)], "s string").createOrReplaceTempView("texts")
     assert run_query(spark, "SELECT * FROM texts WHERE s = %s", ["' OR '1'='1"]).count() == 0
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text(
+        "sales,region,note,Platform,customer_type,transactions,segment,week_date\n"
+        "3656163.00,\tASIA\t,x,Retail,New,120631.0,\tC3, 31/8/20\n"
+        "1.00,ASIA,x,Retail,New,1.5,C3,31/8/20\n"
+    )
+    one, two = R.read_raw_csv(spark, str(path)).collect()
+    assert (one.region, one.platform, one.transactions, str(one.sales)) == ("\tASIA\t", "Retail", 120631, "3656163.00")
+    assert two.transactions is None
+    from martlib.operators.clean import clean_weekly_sales
+
+    clean = clean_weekly_sales(R.read_raw_csv(spark, str(path))).first()
+    assert (clean.region, clean.segment_code, clean.demographic, str(clean.week_date)) == ("ASIA", "C3", "Couples", "2020-08-31")
+
+
+def test_csv_without_a_column_is_an_error(spark, tmp_path):
+    path = tmp_path / "raw.csv"
+    path.write_text("week_date,region\n31/8/20,ASIA\n")
+    with pytest.raises(ValueError, match="platform"):
+        R.read_raw_csv(spark, str(path))
+
+
+@pytest.mark.parametrize(
+    "sql, expected",
+    [
+        ("SELECT \"a%s\" AS a, %s AS b", ("a%s", 7)),
+        ("SELECT 'it''s %s' AS a, %s AS b -- %s", ("it's %s", 7)),
+        ("SELECT 'x' AS `a%s`, /* %s */ %s AS b", ("x", 7)),
+        ("SELECT 'q\\'%s' AS a, %s AS b", ("q'%s", 7)),
+    ],
+)
+def test_run_query_leaves_quotes_and_comments_alone(spark, sql, expected):
+    assert tuple(run_query(spark, sql, [7]).first()) == expected

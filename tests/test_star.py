@@ -137,3 +137,9 @@ def test_no_usable_row_gives_empty_tables(spark, star_of):
     assert read_high_water(spark, path) == 0
     assert all(r.violations == 0 for r in check_constraints(star).collect())
     assert {r.row_count for r in verify_counts(star).collect()} == {0}
+
+
+def test_a_large_order_is_kept(star_of):
+    star, _ = star_of([("31/8/20", "ASIA", "Retail", "C3", "New", 1, "200000000.00")])
+    row = star.fact.first()
+    assert (str(row.sales), str(row.avg_transaction)) == ("200000000.00", "200000000.00")
