@@ -13,10 +13,10 @@ band with probability (1 - 0.8^7)^48, about 1 in 80,000; more similar pairs far
 
 **Verification.** Documents with the same shingle set form a class first (128-bit set
 fingerprint), so copies meet once. In each bucket the members are compared with the bucket's
-least member; connected components of the confirmed links leave most buckets with one
-component, and only there where several are left are members of different components
-compared. So a bucket of n near copies costs n comparisons, not n^2, and no link between
-components is lost. Every link is confirmed on the full shingle sets of the whole texts.
+center, the member that meets most others; connected components of the confirmed links leave most buckets with one
+component. Where several are left, members of different components are compared, but only
+those that share one of their rarest shingles, as all similar sets must (prefix filter). So a bucket of n near copies costs about n comparisons, not n^2, and no link
+between components is lost. Every link is confirmed on the full shingle sets of the whole texts.
 
 Defined cases: null and empty texts (and those without words) have an empty set, are linked
 with nothing and are their own component. Rows that repeat a doc_id with the same words
@@ -40,6 +40,8 @@ COORDINATES = 336
 BANDS = 48
 ROWS = 7
 THRESHOLD_PCT = 80
+# Slots in which shingles are counted to tell rare from frequent (2 MB, whatever the data).
+SLOT_BITS = 18
 
 _SIG = (
     "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"
@@ -145,6 +147,86 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return write_through(both.mapInArrow(_verifier(k), "a long, b long"), "neardup-links")
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counter(k: int):
+    """Rows (slot, n): how many shingles of these texts fall into each slot."""
+
+    def count(batches):
+        cache, total = W.WordHashes(), np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text in W.texts_of(batch.column("text")):
+                words = W.space_words(text, lower=True)
+                np.add.at(total, _slots(shingle_hashes(words, cache.of(words), k)), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+
+    return count
+
+
+def _prefixer(k: int, shared):
+    """Rows (key, rep, comp, n, v): the rarest shingles of a set, one of which any set that is
+    similar enough must have among its own rarest; v counts the shingles from this one on."""
+
+    def prefix(batches):
+        cache, frequency = W.WordHashes(), shared.value
+        for batch in batches:
+            reps, comps = batch.column("rep").to_numpy(), batch.column("comp").to_numpy()
+            for i, text in enumerate(W.texts_of(batch.column("text"))):
+                words = W.space_words(text, lower=True)
+                shingles = shingle_hashes(words, cache.of(words), k)
+                n = len(shingles)
+                first = shingles[np.lexsort((shingles, frequency[_slots(shingles)]))][: n + (-n * THRESHOLD_PCT) // 100 + 1]
+                size = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.array(np.full(size, reps[i])), pa.array(np.full(size, comps[i])),
+                     pa.array(np.full(size, n)), pa.array(n - np.arange(size))],
+                    ["key", "rep", "comp", "n", "v"],
+                )
+
+    return prefix
+
+
+def _across(placed: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of different components that could be similar.
+
+    All shingles stand in one order, rare ones first; the order is by the counts of hashed
+    slots, whose number is fixed. Similar sets share one of their rarest fifth, and at its
+    place each still has as many shingles as both must have in common. Sizes for which that
+    fails are ruled out per shingle before any member is paired.
+    """
+    spark = placed.sparkSession
+    known = write_through(
+        placed.select("rep", "comp").distinct().join(texts.select("rep", "text"), "rep"), "neardup-apart-texts"
+    )
+    table = known.mapInArrow(_counter(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << SLOT_BITS, np.int64)
+    frequency[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(frequency)
+    members = write_through(
+        known.mapInArrow(_prefixer(k, shared), "key long, rep long, comp long, n long, v long"), "neardup-members"
+    )
+    enough = lambda v, n, m: F.col(v) * (100 + THRESHOLD_PCT) >= (F.col(n) + F.col(m)) * THRESHOLD_PCT
+    sizes = members.groupBy("key", F.col("n").alias("m")).agg(
+        F.max("v").alias("w"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    left = (
+        members.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), "n", "v")
+        .join(sizes, "key")
+        .where(enough("v", "n", "m") & enough("w", "n", "m") & ((F.col("low") != F.col("cx")) | (F.col("high") != F.col("cx"))))
+        .select("key", "x", "cx", "n", "m")
+    )
+    right = members.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("m"), F.col("v").alias("w"))
+    return (
+        left.join(right, ["key", "m"])
+        .where((F.col("cx") < F.col("cy")) & enough("w", "n", "m"))
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -159,10 +241,13 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
             classes.withColumnRenamed("rep", "doc_id"), ["c1", "c2", "n_shingles", "doc_id"], "left_semi"
         ).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     )
-    meeting = member.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last"))
-    buckets = write_through(
-        member.join(meeting.where("center < last").select("key", "center"), "key"), "neardup-buckets"
-    )
+    meeting = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = write_through(member.join(meeting, "key"), "neardup-buckets")
+    # The center of a bucket is the member that meets most others in all its buckets.
+    degree = met.groupBy("rep").agg(F.sum("size").alias("degree"))
+    ranked = met.join(degree, "rep").select("key", "rep", F.struct(-F.col("degree"), F.col("rep").alias("r")).alias("rank"))
+    centers = ranked.groupBy("key").agg(F.min("rank").alias("best")).select("key", F.col("best.r").alias("center"))
+    buckets = write_through(met.select("key", "rep").join(centers, "key"), "neardup-centers")
     ids = buckets.select("rep").distinct()
     texts = write_through(
         whole.withColumnRenamed("doc_id", "rep")
@@ -172,8 +257,12 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
         "neardup-texts",
     )
 
-    # First each member against its bucket's least member, then across what is left apart.
-    stars = buckets.where("rep > center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    # First each member against its bucket's center, then across what is left apart.
+    stars = (
+        buckets.where("rep <> center")
+        .select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b"))
+        .distinct()
+    )
     links = _links(stars, texts, k)
     joined = components(links, "a", "b")
     placed = buckets.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -181,15 +270,7 @@ def near_duplicates(docs: DataFrame, k: int) -> DataFrame:
     )
     apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     placed = write_through(placed.join(apart.select("key"), "key"), "neardup-apart")
-    left = placed.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    right = placed.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-    cross = (
-        left.join(right, "key")
-        .where("cx < cy")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    cross = _across(placed, texts, k).join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(_links(cross, texts, k))
     joined = components(links, "a", "b")
 
