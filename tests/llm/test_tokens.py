@@ -22,6 +22,7 @@ TEXTS = [
     "word " * 3000,
     "same text",
     "same text",
+    "Été ñandú straße, Ωmega. ДОМ! ab½ x² ʰª naïve|| don't. l'eau; \0 nul",
 ]
 
 
