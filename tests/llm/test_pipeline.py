@@ -9,7 +9,7 @@ from martlib.llm import oracle
 from .test_neardup import brute as brute_groups
 from .test_tokens import check_packing
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.001"
 
 
 def brute_force(sf_dir):
@@ -45,7 +45,7 @@ def tokenizer():
 def test_pipeline_against_brute_force(spark, tokenizer):
     rows = corpus_pipeline.run(spark, SF).collect()
     docs = brute_force(SF)
-    assert 100 < len(docs) < 1000
+    assert 50 < len(docs) < 200
     check_packing(rows, docs, tokenizer)
 
 
