@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from martlib.functions import cleaning as C
 from martlib.operators.evaluate import select_market
-from martlib.operators.model import PREDICTION, feature_columns, predict
+from martlib.operators.model import PREDICTION, predict
 from martlib.operators.panel import (
     DATE,
     LAGS,
@@ -111,15 +111,6 @@ def calendar_features(
     }
 
 
-def _dummies(columns: list[str]) -> dict[str, Column]:
-    made = {}
-    for column in columns:
-        for key in SERIES:
-            if column.startswith(f"{key}_"):
-                made[column] = (F.col(key) == column[len(key) + 1 :]).cast("int")
-    return made
-
-
 def _recurse(
     model: PipelineModel,
     state: DataFrame,
@@ -135,7 +126,6 @@ def _recurse(
     """Adds ``preds``, one prediction per step; a step whose date is null leaves the state alone."""
     kept = [c for c in state.columns if c != "history"]
     # Column objects do not depend on the step, so they are built once.
-    dummies = _dummies(feature_columns(model))
     averages, deviations = history_features(short_lag, sample_std)
     grown = F.concat("history", F.array(PREDICTION))
     pushed = F.when(F.size(grown) > TAIL, F.slice(grown, -TAIL, TAIL)).otherwise(grown)
@@ -150,7 +140,6 @@ def _recurse(
             {
                 **averages,
                 **calendar_features(day, week_rule, in_year, from_week),
-                **dummies,
                 "transactions": step_transactions(step),
                 "active": d.isNotNull(),
             }

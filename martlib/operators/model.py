@@ -7,12 +7,18 @@ from dataclasses import dataclass, replace
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+    VectorSlicer,
+)
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from martlib.operators.panel import DATE, TARGET
+from martlib.operators.panel import BASE_FEATURES, DATE, SERIES, TARGET
 from martlib.storage import path_exists
 
 FEATURES = "features"
@@ -59,9 +65,35 @@ GRID = {
 }
 
 
-def fit_gbt(train: DataFrame, columns: list[str], params: GbtParams = GbtParams()) -> PipelineModel:
+def _encoding(train: DataFrame) -> list:
+    """Stages from panel features to one sparse vector.
+
+    Every series column becomes a one-hot vector without its alphabetically first value, of
+    any number of values. A value that training has not seen is all zeros.
+    """
+    indexer = StringIndexer(
+        inputCols=SERIES,
+        outputCols=[f"{c}_index" for c in SERIES],
+        stringOrderType="alphabetDesc",
+        handleInvalid="keep",
+    ).fit(train)
+    encoder = OneHotEncoder(
+        inputCols=[f"{c}_index" for c in SERIES], outputCols=[f"{c}_one_hot" for c in SERIES]
+    )
+    # The encoder drops the slot of unseen values; the first value's slot is the last one left.
+    sizes = {c: len(labels) - 1 for c, labels in zip(SERIES, indexer.labelsArray)}
+    slicers = [
+        VectorSlicer(inputCol=f"{c}_one_hot", outputCol=f"{c}_dummies", indices=list(range(n)))
+        for c, n in sizes.items()
+        if n > 0
+    ]
+    dummies = [s.getOutputCol() for s in slicers]
+    assembler = VectorAssembler(inputCols=[*BASE_FEATURES, *dummies], outputCol=FEATURES)
+    return [indexer, encoder, *slicers, assembler]
+
+
+def fit_gbt(train: DataFrame, params: GbtParams = GbtParams()) -> PipelineModel:
     """Distributed fit; ``train`` should be a written table, so each pass is a cheap scan."""
-    assembler = VectorAssembler(inputCols=columns, outputCol=FEATURES)
     booster = GBTRegressor(
         featuresCol=FEATURES,
         labelCol=TARGET,
@@ -74,19 +106,22 @@ def fit_gbt(train: DataFrame, columns: list[str], params: GbtParams = GbtParams(
         minInstancesPerNode=params.min_rows,
         seed=params.seed,
     )
-    return Pipeline(stages=[assembler, booster]).fit(train)
+    return Pipeline(stages=[*_encoding(train), booster]).fit(train)
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``y_pred``, never below zero."""
     scored = model.transform(df)
-    return scored.withColumn(
-        PREDICTION, F.greatest(F.col(RAW_PREDICTION), F.lit(0.0))
-    ).drop(FEATURES, RAW_PREDICTION)
+    return scored.select(
+        *df.columns, F.greatest(F.col(RAW_PREDICTION), F.lit(0.0)).alias(PREDICTION)
+    )
 
 
 def feature_columns(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
+    """Names of the vector's places: panel features, then one per encoded value."""
+    indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+    dummies = [f"{c}_{x}" for c, labels in zip(SERIES, indexer.labelsArray) for x in labels[:-1]]
+    return BASE_FEATURES + dummies
 
 
 def feature_importance(model: PipelineModel, spark: SparkSession, digits: int = 2) -> DataFrame:
@@ -139,15 +174,15 @@ def _fold_errors(task) -> list[tuple[GbtParams, float]]:
     A boosted ensemble cut after n trees is the ensemble of n trees, so the largest one
     answers for all of them.
     """
-    params, tree_counts, train, test, columns = task
-    model = fit_gbt(train, columns, replace(params, trees=max(tree_counts)))
-    assembled = model.stages[0].transform(test)
+    params, tree_counts, train, test = task
+    model = fit_gbt(train, replace(params, trees=max(tree_counts)))
+    assembled = PipelineModel(model.stages[:-1]).transform(test)
     errors = model.stages[-1].evaluateEachIteration(assembled, "absolute")
     return [(replace(params, trees=n), errors[n - 1]) for n in tree_counts]
 
 
 def tune(
-    train: DataFrame, columns: list[str], grid: dict = GRID, folds: int = 5, threads: int = 8
+    train: DataFrame, grid: dict = GRID, folds: int = 5, threads: int = 8
 ) -> tuple[GbtParams, DataFrame]:
     """Grid search by mean fold MAE. Returns the best parameters and the score table.
 
@@ -166,7 +201,6 @@ def tune(
             tree_counts,
             train.filter(F.col(DATE) < F.lit(b.test_from)),
             train.filter(F.col(DATE).between(b.test_from, b.test_to)),
-            columns,
         )
         for values in product(*others.values())
         for b in bounds

@@ -29,10 +29,6 @@ BASE_FEATURES = (
     + ["transactions", "is_packaging_week"]
 )
 
-# One-hot columns are only sensible for dimensions of this size.
-MAX_LEVELS = 1000
-
-
 def panel_weekly(star: Star) -> DataFrame:
     """Weekly sums per series; sales in millions, transactions in thousands."""
     calendar = ["week_date", "week_number", "month_number", "calendar_year"]
@@ -124,14 +120,11 @@ def engineer_features(panel: DataFrame, in_year: int = 2020, from_week: int = 25
 
 
 def _levels(dim: DataFrame, column: str) -> list[str]:
-    rows = dim.select(column).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} values; too many for dummies")
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in dim.select(column).distinct().collect())
 
 
 def dummy_levels(star: Star) -> dict[str, list[str]]:
-    """Sorted names per series column, from the dimension tables and of checked size."""
+    """Sorted names per series column, from the dimension tables."""
     return {
         "region": _levels(star.dim_region, "region_name"),
         "platform": _levels(star.dim_platform, "platform_name"),
@@ -141,7 +134,10 @@ def dummy_levels(star: Star) -> dict[str, list[str]]:
 def encode_dummies(
     df: DataFrame, levels: dict[str, list[str]]
 ) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for all but the alphabetically first level; also the model's feature columns."""
+    """0/1 columns for all but the alphabetically first level; also all feature columns.
+
+    For people to read: the model encodes its series itself, as one sparse vector.
+    """
     dummies = {
         f"{column}_{name}": (F.col(column) == name).cast("int")
         for column, names in levels.items()

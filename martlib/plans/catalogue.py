@@ -817,7 +817,7 @@ def append_then_delete(w):
 
 
 def _scored(w) -> DataFrame:
-    return model.predict(w.model, w.split[1])
+    return w.scored
 
 
 @on_workspace
@@ -860,7 +860,7 @@ def gbt_importance(w):
 def gbt_grid_scores(w):
     """Time-ordered grid search on a small grid; the full grid is ``model.GRID``."""
     grid = {"trees": [5, 10], "depth": [2, 3]}
-    _, scores = model.tune(w.split[0], w.encoded[1], grid, folds=3)
+    _, scores = model.tune(w.split[0], grid, folds=3)
     return scores
 
 

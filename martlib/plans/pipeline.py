@@ -19,10 +19,9 @@ INTERVENTION_WEEK = 25
 
 @dataclass(frozen=True)
 class Prepared:
-    """Encoded features as a written table, and the model's feature columns."""
+    """Features as a written table."""
 
     features: DataFrame
-    columns: list[str]
 
     def split(self, date: str = SPLIT_DATE) -> tuple[DataFrame, DataFrame]:
         return panel.split(self.features, date)
@@ -43,8 +42,7 @@ def prepare(
     star: Star, in_year: int = INTERVENTION_YEAR, from_week: int = INTERVENTION_WEEK
 ) -> Prepared:
     made = panel.engineer_features(panel.panel_weekly(star), in_year, from_week)
-    encoded, columns = panel.encode_dummies(made, panel.dummy_levels(star))
-    return Prepared(write_through(encoded, "encoded"), columns)
+    return Prepared(write_through(made, "features"))
 
 
 def train_pipeline(
@@ -64,11 +62,11 @@ def train_pipeline(
     train, test = prepared.split(split_date)
     params, scores = model.GbtParams(), None
     if grid is not None:
-        params, scores = model.tune(train, prepared.columns, grid, folds)
-    fitted = model.fit_gbt(train, prepared.columns, params)
+        params, scores = model.tune(train, grid, folds)
+    fitted = model.fit_gbt(train, params)
     model.save_model(fitted, model_path)
 
-    scored = model.predict(fitted, test)
+    scored = write_through(model.predict(fitted, test), "scored")
     backtest = write_through(
         forecast.backtest_recursive(fitted, train, test, in_year, from_week, transactions_policy),
         "backtest",
@@ -85,10 +83,8 @@ def train_pipeline(
     )
 
 
-def load_or_fit(
-    spark: SparkSession, model_path: str, train: DataFrame, columns: list[str]
-) -> PipelineModel:
+def load_or_fit(spark: SparkSession, model_path: str, train: DataFrame) -> PipelineModel:
     """The saved model if there is one, else a fit with default parameters."""
     if path_exists(spark, model_path):
         return model.load_model(spark, model_path)
-    return model.fit_gbt(train, columns)
+    return model.fit_gbt(train)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from martlib.operators import panel as P
 from martlib.operators.forecast import backtest_recursive, forecast
-from martlib.operators.model import GbtParams, fit_gbt
+from martlib.operators.model import GbtParams, fit_gbt, predict
 from martlib.operators.star import Star, build_star, read_star
 from martlib.sources.adapter import weekly_sales_from_orders
 from martlib.sources.raw import write_raw_table
@@ -54,19 +54,18 @@ class Workspace:
         made = P.engineer_features(self.panel, INTERVENTION_YEAR, INTERVENTION_WEEK)
         return write_through(made, "features")
 
-    @cached_property
-    def encoded(self) -> tuple[DataFrame, list[str]]:
-        """Features with dummies; the dummy levels are read from the dimensions."""
-        frame, columns = P.encode_dummies(self.features, P.dummy_levels(self.star))
-        return write_through(frame, "encoded"), columns
-
     @cached_property
     def split(self) -> tuple[DataFrame, DataFrame]:
-        return P.split(self.encoded[0], SPLIT_DATE)
+        return P.split(self.features, SPLIT_DATE)
 
     @cached_property
     def model(self):
-        return fit_gbt(self.split[0], self.encoded[1], GbtParams())
+        return fit_gbt(self.split[0], GbtParams())
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The test rows with predictions as a table: reports read them several times."""
+        return write_through(predict(self.model, self.split[1]), "scored")
 
     @cached_property
     def backtest(self) -> DataFrame:

@@ -32,7 +32,7 @@ def test_pipeline(spark, tmp_path):
     row = trained.metrics.first()
     assert row.total_streams == trained.per_stream.count() > 0
     assert trained.steps.count() > 0 and trained.importance.count() > 0
-    loaded = load_or_fit(spark, path, None, None)
+    loaded = load_or_fit(spark, path, None)
     assert loaded.stages[-1].getNumTrees == trained.model.stages[-1].getNumTrees
 
 

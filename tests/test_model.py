@@ -25,28 +25,25 @@ def panel(spark):
 
 
 @pytest.fixture(scope="module")
-def encoded(panel):
-    frame, columns = P.encode_dummies(P.engineer_features(panel), LEVELS)
-    return write_through(frame, "encoded"), columns
+def features(panel):
+    return write_through(P.engineer_features(panel), "features")
 
 
 @pytest.fixture(scope="module")
-def fitted(encoded):
-    frame, columns = encoded
-    return M.fit_gbt(P.split(frame, SPLIT)[0], columns, SMALL)
+def fitted(features):
+    return M.fit_gbt(P.split(features, SPLIT)[0], SMALL)
 
 
-def test_fit_is_deterministic_and_predictions_are_not_negative(encoded, fitted):
-    frame, columns = encoded
-    train, test = P.split(frame, SPLIT)
-    again = M.fit_gbt(train, columns, SMALL)
+def test_fit_is_deterministic_and_predictions_are_not_negative(features, fitted):
+    train, test = P.split(features, SPLIT)
+    again = M.fit_gbt(train, SMALL)
 
     def predictions(m):
         return sorted(tuple(r) for r in M.predict(m, test).select(*P.SERIES, P.DATE, "y_pred").collect())
 
     assert predictions(fitted) == predictions(again)
     shifted = test.withColumn(P.TARGET, F.col(P.TARGET) - 100)
-    low = M.fit_gbt(train.withColumn(P.TARGET, -F.col(P.TARGET)), columns, SMALL)
+    low = M.fit_gbt(train.withColumn(P.TARGET, -F.col(P.TARGET)), SMALL)
     assert {r.y_pred for r in M.predict(low, shifted).collect()} == {0.0}
 
 
@@ -62,15 +59,15 @@ def test_importance_lists_used_features_with_labels(spark, fitted):
             assert label == M.LABELS.get(name, name)
 
 
-def test_save_and_load(spark, fitted, encoded, tmp_path):
+def test_save_and_load(spark, fitted, features, tmp_path):
     path = str(tmp_path / "model")
     with pytest.raises(FileNotFoundError):
         M.load_model(spark, path)
     M.save_model(fitted, path)
     M.save_model(fitted, path)
     loaded = M.load_model(spark, path)
-    assert M.feature_columns(loaded) == encoded[1]
-    row = encoded[0].limit(1)
+    assert M.feature_columns(loaded) == P.encode_dummies(features, LEVELS)[1]
+    row = features.limit(1)
     assert M.predict(loaded, row).first().y_pred == M.predict(fitted, row).first().y_pred
 
 
@@ -88,10 +85,9 @@ def test_expanding_folds(spark, weeks):
     assert [tuple(r) for r in rows] == want
 
 
-def test_tune_scores_prefixes_like_separate_fits(encoded):
-    frame, columns = encoded
-    train = P.split(frame, SPLIT)[0]
-    best, scores = M.tune(train, columns, {"trees": [2, 4], "depth": [1, 2]}, folds=2)
+def test_tune_scores_prefixes_like_separate_fits(features):
+    train = P.split(features, SPLIT)[0]
+    best, scores = M.tune(train, {"trees": [2, 4], "depth": [1, 2]}, folds=2)
     rows = scores.collect()
     assert len(rows) == 4 and all(r.folds == 2 for r in rows)
     low = min(rows, key=lambda r: r.mean_mae)
@@ -101,18 +97,17 @@ def test_tune_scores_prefixes_like_separate_fits(encoded):
     for b in M.expanding_folds(train, 2).collect():
         past = train.filter(F.col(P.DATE) < F.lit(b.test_from))
         fold = train.filter(F.col(P.DATE).between(b.test_from, b.test_to))
-        alone = M.fit_gbt(past, columns, M.GbtParams(trees=2, depth=2))
+        alone = M.fit_gbt(past, M.GbtParams(trees=2, depth=2))
         gap = F.avg(F.abs(F.col(P.TARGET) - F.col(M.RAW_PREDICTION)))
         errors.append(alone.transform(fold).agg(gap).first()[0])
     scored = next(r for r in rows if (r.trees, r.depth) == (2, 2))
     assert scored.mean_mae == pytest.approx(np.mean(errors), rel=1e-9)
 
 
-def test_tune_needs_enough_weeks(encoded):
-    frame, columns = encoded
-    few = frame.filter(F.col(P.DATE) >= F.lit(START + timedelta(weeks=54)))
+def test_tune_needs_enough_weeks(features):
+    few = features.filter(F.col(P.DATE) >= F.lit(START + timedelta(weeks=54)))
     with pytest.raises(ValueError):
-        M.tune(few, columns, {"trees": [1]}, folds=5)
+        M.tune(few, {"trees": [1]}, folds=5)
 
 
 # ---- recursive forecast against a plain loop -----------------------------------------
@@ -173,8 +168,8 @@ def test_forecast_matches_a_plain_loop(panel, fitted, sample, short_lag):
 
 
 @pytest.mark.parametrize("policy", ["last_value", "actual"])
-def test_backtest_matches_a_plain_loop(encoded, fitted, policy):
-    train, test = P.split(encoded[0], SPLIT)
+def test_backtest_matches_a_plain_loop(features, fitted, policy):
+    train, test = P.split(features, SPLIT)
     made = FC.backtest_recursive(fitted, train, test, transactions_policy=policy)
     got = {(r.region, r.platform, r.step): r for r in made.collect()}
     train, test = (df.toPandas().sort_values(P.DATE) for df in (train, test))
@@ -233,3 +228,18 @@ def test_future_calendar_and_band(spark, panel):
     bands = FC.forecast_band(totals).orderBy("forecast").collect()
     assert [r.lower for r in bands] == pytest.approx([3 - half, 5 - half])
     assert [r.upper for r in bands] == pytest.approx([3 + half, 5 + half])
+
+
+def test_many_regions_train_and_forecast(spark):
+    rows = [r for i in range(1500) for r in series(f"R{i:04d}", "Retail", 14, i % 90)]
+    many = write_through(spark.createDataFrame(rows, SCHEMA), "many")
+    made = write_through(P.engineer_features(many), "many-features")
+    fitted = M.fit_gbt(made, M.GbtParams(trees=2, depth=2))
+    assert len(M.feature_columns(fitted)) == len(P.BASE_FEATURES) + 1499
+    made = FC.forecast(fitted, many, 2)
+    assert made.count() == 3000 and made.filter("forecast IS NULL OR forecast < 0").count() == 0
+
+
+def test_a_region_unseen_in_training_is_scored(features, fitted):
+    unseen = features.limit(3).withColumn("region", F.lit("ATLANTIS"))
+    assert all(r.y_pred >= 0 for r in M.predict(fitted, unseen).collect())

@@ -106,13 +106,6 @@ def test_dummies_drop_the_first_level(two_series):
     assert (row.region_EUROPE, row.region_USA, row.platform_Shopify) == (0, 1, 1)
 
 
-def test_level_count_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_LEVELS", 2)
-    dim = spark.createDataFrame([("a",), ("b",), ("c",)], "region_name string")
-    with pytest.raises(ValueError):
-        P._levels(dim, "region_name")
-
-
 def test_split_and_profile(two_series):
     train, test = P.split(two_series, "2020-05-04")
     assert train.count() + test.count() == two_series.count()
