@@ -111,8 +111,15 @@ def calendar_features(
     }
 
 
+def _score(model: PipelineModel | Column, frame: DataFrame) -> DataFrame:
+    """Predictions of a fitted model, or of a rule given as an expression of the features."""
+    if isinstance(model, PipelineModel):
+        return predict(model, frame)
+    return frame.withColumn(PREDICTION, F.greatest(model, F.lit(0.0)))
+
+
 def _recurse(
-    model: PipelineModel,
+    model: PipelineModel | Column,
     state: DataFrame,
     horizon: int,
     step_date,
@@ -144,12 +151,13 @@ def _recurse(
                 "active": d.isNotNull(),
             }
         ).withColumns(deviations)
-        state = predict(model, frame).select(
+        state = _score(model, frame).select(
             *kept,
             F.when(F.col("active"), pushed).otherwise(F.col("history")).alias("history"),
             F.when(F.col("active"), longer).otherwise(F.col("preds")).alias("preds"),
         )
-        if step % STEPS_PER_PLAN == 0 and step < horizon:
+        # A rule's expression would be copied into every later step, so it is cut at once.
+        if step < horizon and (step % STEPS_PER_PLAN == 0 or isinstance(model, Column)):
             state = write_through(state, f"forecast-step-{step}")
     return state
 
@@ -172,7 +180,7 @@ def future_calendar(panel: DataFrame, horizon: int, week_rule: str = "monday_w1"
 
 
 def forecast(
-    model: PipelineModel,
+    model: PipelineModel | Column,
     panel: DataFrame,
     horizon: int = 12,
     in_year: int = 2020,
@@ -208,7 +216,7 @@ def forecast(
 
 
 def backtest_recursive(
-    model: PipelineModel,
+    model: PipelineModel | Column,
     train: DataFrame,
     test: DataFrame,
     in_year: int = 2020,

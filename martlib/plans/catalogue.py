@@ -714,7 +714,7 @@ def naive_stream_table(w):
 
 def _rounded_pairs(sums: DataFrame) -> DataFrame:
     return sums.select(
-        panel.DATE, F.round("sales", DIGITS).alias("sales"), F.round("y_pred", DIGITS).alias("y_pred")
+        panel.DATE, F.round("sales", 9).alias("sales"), F.round("y_pred", 9).alias("y_pred")
     )
 
 
@@ -731,13 +731,13 @@ def naive_actual_vs_pred_retail(w):
 @on_workspace
 def history_total(w):
     sums = evaluate.history_total(w.features)
-    return sums.select(panel.DATE, F.round("sales", DIGITS).alias("sales"))
+    return sums.select(panel.DATE, F.round("sales", 9).alias("sales"))
 
 
 @on_workspace
 def history_total_asia(w):
     sums = evaluate.history_total(w.features, region="ASIA")
-    return sums.select(panel.DATE, F.round("sales", DIGITS).alias("sales"))
+    return sums.select(panel.DATE, F.round("sales", 9).alias("sales"))
 
 
 @on_workspace
@@ -864,6 +864,80 @@ def gbt_grid_scores(w):
     return scores
 
 
+@on_workspace
+def persistence_backtest(w):
+    """The recursive backtest of a rule instead of trees: each step repeats the last value."""
+    return forecast.backtest_recursive(
+        F.col("lag_1"), *w.split, in_year=W.INTERVENTION_YEAR, from_week=W.INTERVENTION_WEEK
+    )
+
+
+@on_workspace
+def persistence_steps(w):
+    return evaluate.step_summary(persistence_backtest(w), "recursive_pred", digits=DIGITS)
+
+
+def _moving_average(w, horizon: int) -> DataFrame:
+    """The recursive forecast of a rule instead of trees: the mean of the last four values."""
+    return forecast.forecast(
+        F.col("rolling_mean_4"), w.features, horizon, W.INTERVENTION_YEAR, W.INTERVENTION_WEEK
+    )
+
+
+@on_workspace
+def moving_average_forecast_12wk(w):
+    return _moving_average(w, 12)
+
+
+@on_workspace
+def moving_average_forecast_24wk(w):
+    return _moving_average(w, 24)
+
+
+@on_workspace
+def moving_average_total(w):
+    sums = forecast.forecast_total(_moving_average(w, 12))
+    return sums.select(panel.DATE, F.round("forecast", DIGITS).alias("forecast"))
+
+
+@on_workspace
+def moving_average_band(w):
+    bands = forecast.forecast_band(forecast.forecast_total(_moving_average(w, 12)))
+    parts = ["forecast", "lower", "upper"]
+    return bands.select(panel.DATE, *[F.round(c, DIGITS).alias(c) for c in parts])
+
+
+@on_workspace
+def gbt_importance_checks(w):
+    """What holds for any fitted model: importances sum to one and every feature has a label."""
+    table = model.feature_importance(w.model, w.spark, 9)
+    return table.agg(
+        F.round(F.sum("gain"), 6).alias("total"),
+        F.count_if(F.col("label").isNull()).alias("unlabelled"),
+        F.count_if(F.col("gain") <= 0).alias("unused"),
+    )
+
+
+@on_workspace
+def gbt_prediction_checks(w):
+    """Per series: test rows, negative predictions, and rows the saved model scores differently."""
+    path = new_path(w.spark, "model")
+    model.save_model(w.model, path)
+    keys = [panel.DATE, *panel.SERIES]
+    again = model.predict(model.load_model(w.spark, path), w.split[1])
+    again = again.select(*keys, F.col(model.PREDICTION).alias("again"))
+    y = F.col(model.PREDICTION)
+    return (
+        w.scored.join(again, keys)
+        .groupBy(*panel.SERIES)
+        .agg(
+            F.count("*").alias("row_count"),
+            F.count_if(y < 0).alias("negative"),
+            F.count_if(y != F.col("again")).alias("different"),
+        )
+    )
+
+
 @on_workspace
 def recursive_backtest(w):
     return w.run_backtest()

