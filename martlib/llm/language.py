@@ -138,14 +138,14 @@ def mixture(likelihood: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _predictor(shared):
     def predict(batches):
-        model = shared.value
+        languages, bits, likelihood = shared.value
         for batch in batches:
             names, scores, sets, shares = [], [], [], []
             for text in batch.column("text").to_pylist():
-                slots = slots_of(text, model.bits) if text and model.languages and _LETTER.search(text) else ()
+                slots = slots_of(text, bits) if text and languages and _LETTER.search(text) else ()
                 if len(slots):
-                    who, share = mixture(model.likelihood, slots)
-                    sets.append([model.languages[i] for i in who.tolist()])
+                    who, share = mixture(likelihood, slots)
+                    sets.append([languages[i] for i in who.tolist()])
                     shares.append(share)
                     names.append(sets[-1][0])
                     scores.append(min(1.0, float(share[0])))
@@ -165,7 +165,7 @@ def _predictor(shared):
 
 def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and the languages found with their shares."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.bits, model.likelihood))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(
         _predictor(shared),
