@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlib.llm.tokens import Encoder, shared_tokenizer
+from martlib.llm.tokens import encoder_of, shared_tokenizer
 from martlib.storage import new_path, write_through
 
 # The tokenizer's own end-of-text id; a text cannot contain it, its marker is ordinary text.
@@ -41,7 +41,7 @@ def _writer(shared, width: int):
     kind = f"<u{width}"
 
     def write(batches):
-        encoder, file = Encoder(shared.value, literal=True), TaskContext.get().partitionId()
+        encoder, file = encoder_of(shared, literal=True), TaskContext.get().partitionId()
         held, total, block, ordinal = [], 0, 0, 0
         size = BLOCK_IDS * width
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martlib.llm.tokens import Encoder, shared_tokenizer
+from martlib.llm.tokens import encoder_of, shared_tokenizer
 from martlib.storage import write_through
 
 WINDOW = 1024
@@ -43,7 +43,7 @@ _PIECES = (
 
 def _cutter(shared):
     def cut(batches):
-        encoder, seen = Encoder(shared.value), np.zeros(WINDOW + 1, np.int64)
+        encoder, seen = encoder_of(shared), np.zeros(WINDOW + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
