@@ -102,6 +102,12 @@ def _noder(window: int, node: int):
     return emit
 
 
+def _lists(column: pa.ListArray, *fields: str) -> tuple:
+    """Where each row's list of structs starts, and the fields of all lists end to end."""
+    values = column.values
+    return column.offsets.to_numpy(), *(values.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
 def _windower(window: int, node: int):
     """For each text with repeated nodes: spans known to repeat, and windows to look up."""
 
@@ -109,20 +115,19 @@ def _windower(window: int, node: int):
         cache = W.WordHashes()
         for batch in batches:
             rows = []
-            known = zip(
-                batch.column("k1").to_pylist(), batch.column("k2").to_pylist(),
-                W.texts_of(batch.column("text")), batch.column("known").to_pylist(),
-            )
-            for k1, k2, text, repeated in known:
+            k1s, k2s = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
+            at, pos, ins, outs = _lists(batch.column("known"), "pos", "one_in", "one_out")
+            for i, text in enumerate(W.texts_of(batch.column("text"))):
+                own_rows = slice(at[i], at[i + 1])
                 h = cache.of(W.space_words(text))
                 nodes = W.window_hashes(h, node)
                 of_window = anchors_of(nodes, np.arange(len(h) - window + 1), window - node + 1)
                 place = np.unique(of_window)
                 flags = np.zeros((3, len(place)), bool)
-                own = np.searchsorted(place, [x["pos"] for x in repeated])
+                own = np.searchsorted(place, pos[own_rows])
                 flags[0, own] = True
-                flags[1, own] = [x["one_in"] for x in repeated]
-                flags[2, own] = [x["one_out"] for x in repeated]
+                flags[1, own] = ins[own_rows]
+                flags[2, own] = outs[own_rows]
                 again, one_in, one_out = flags
                 step = again[:-1] & again[1:] & one_out[:-1] & one_in[1:]
                 head = np.concatenate([[True], ~step])
@@ -135,7 +140,7 @@ def _windower(window: int, node: int):
                 open_ = np.flatnonzero(again[index] & ~inside)
                 long = again[head] & (high - low >= window)
                 rows.append(
-                    (k1, k2, np.stack([low[long], high[long]], 1).astype(np.int32).ravel(), open_.astype(np.int32),
+                    (k1s[i], k2s[i], np.stack([low[long], high[long]], 1).astype(np.int32).ravel(), open_.astype(np.int32),
                      W.window_hashes(h, window)[open_].view(np.int64), nodes[of_window[open_]].view(np.int64))
                 )
             columns = list(zip(*rows)) if rows else [[]] * 6
@@ -153,13 +158,13 @@ def _finisher():
         for batch in batches:
             texts = W.texts_of(batch.column("text"))
             counts, gone, spans_out, kept_text = [], [], [], []
-            for text, spans in zip(texts, batch.column("spans").to_pylist()):
+            at, start, stop = _lists(batch.column("spans"), "start", "stop")
+            for i, text in enumerate(texts):
                 words = W.space_words(text)
                 counts.append(len(words))
                 cover = np.zeros(len(words) + 1, np.int32)
-                for s in spans or ():
-                    cover[s["start"]] += 1
-                    cover[s["stop"]] -= 1
+                np.add.at(cover, start[at[i] : at[i + 1]], 1)
+                np.subtract.at(cover, stop[at[i] : at[i + 1]], 1)
                 covered = np.cumsum(cover[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
                 gone.append(int(covered.sum()))
