@@ -15,13 +15,17 @@ payload holding little-endian unsigned ids. Documents run across blocks.
 Defined cases: two separators in a row are an empty document; ids after the last separator
 are a document with ``ended`` false; null and empty payloads hold no ids; a file without ids
 has no documents; empty tables give empty results; extra columns are ignored; repeated
-(file, block) rows are an error of the caller and are read one after the other.
+(file, block) rows are an error of the caller and are read one after the other. Writing an id
+that does not fit the width, or a text's id that is the separator's, is an error.
 """
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,12 +37,15 @@ from martlib.storage import new_path, write_through
 SEPARATOR = 50256
 BLOCK_IDS = 256 * 1024
 SPAN = 1024
+# Blocks of a raw file that a task reads as one range, and the number of such tasks.
+RANGE_BLOCKS = 128
+MAX_READERS = 20_000
 
 _FLAT = "kind string, file long, block long, payload binary, doc_id long"
 
 
 def _writer(shared, width: int):
-    kind = f"<u{width}"
+    kind, limit = f"<u{width}", 1 << 8 * width
 
     def write(batches):
         encoder, file = encoder_of(shared, literal=True), TaskContext.get().partitionId()
@@ -58,7 +65,12 @@ def _writer(shared, width: int):
             yield rows("order", range(ordinal, ordinal + len(ids)), [None] * len(ids), ids)
             ordinal += len(ids)
             for text in batch.column("text").to_pylist():
-                held.append(encoder.document(text, SEPARATOR).astype(kind).tobytes())
+                numbers = encoder.document(text, SEPARATOR)
+                if numbers.max() >= limit:
+                    raise ValueError(f"token id {numbers.max()} does not fit {width} bytes; use a larger width")
+                if (numbers[:-1] == SEPARATOR).any():
+                    raise ValueError(f"the tokenizer gives a text the separator's id, {SEPARATOR}")
+                held.append(numbers.astype(kind).tobytes())
                 total += len(held[-1])
                 if total >= size:
                     run = b"".join(held)
@@ -168,23 +180,73 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2)
     )
 
 
-def read_flat(spark, path: str, width: int = 2) -> DataFrame:
-    """Blocks of binary token files: Spark hands over each file whole (2 GB at most) and the
-    task cuts it; the files' order gives their number."""
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
+def _file_system(path: str):
+    """A file system that reads places of a file inside a task, and the file's name in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
 
+def _ranges(size: int):
+    """Blocks of rows (path, file, at, bytes): a range is read block by block."""
+
+    def read(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, name = _file_system(row["path"])
+                with system.open_input_file(name) as source:
+                    for at in range(row["at"], row["at"] + row["bytes"], size):
+                        wanted = min(size, row["at"] + row["bytes"] - at)
+                        payload = source.read_at(wanted, at)
+                        if len(payload) < wanted:
+                            raise OSError(f"{row['path']} ended before place {at + wanted}")
+                        yield _block(row["file"], at // size, payload)
+
+    return read
+
+
+def _whole_files(size: int):
     def cut(batches):
-        size = BLOCK_IDS * width
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist()):
                 for block, at in enumerate(range(0, len(content), size)):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([file], pa.int64()), pa.array([block], pa.int64()),
-                         pa.array([content[at : at + size]], pa.binary())],
-                        ["file", "block", "payload"],
-                    )
+                    yield _block(file, block, content[at : at + size])
 
-    return files.mapInArrow(cut, "file long, block long, payload binary")
+    return cut
+
+
+def _block(file: int, block: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())],
+        ["file", "block", "payload"],
+    )
+
+
+def read_flat(spark, path: str, width: int = 2) -> DataFrame:
+    """Blocks of binary token files of any size; a hash of a file's path gives its number.
+
+    Spark lists the files without their content, and tasks read ranges of ``RANGE_BLOCKS``
+    blocks, so a large file is shared by many tasks and none holds more than a block of it.
+    A store that pyarrow has no reader for is read through Spark, whole file by whole file,
+    each of which must then be under 2 GB.
+    """
+    size, schema = BLOCK_IDS * width, "file long, block long, payload binary"
+    files = spark.read.format("binaryFile").load(path).withColumn("file", F.xxhash64("path"))
+    first = files.select("path").first()
+    try:
+        if first:
+            _file_system(first.path)
+    except (OSError, pa.ArrowException, ImportError):
+        return files.select("file", "content").mapInArrow(_whole_files(size), schema)
+    step = size * RANGE_BLOCKS
+    ranges = (
+        files.where("length > 0")
+        .select("path", "file", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(step))).alias("at"))
+        .select("path", "file", "at", F.least(F.col("length") - F.col("at"), F.lit(step)).alias("bytes"))
+    )
+    # A fixed number: adaptive execution would put these few small rows into one task.
+    ranges = ranges.repartition(max(1, min(ranges.count(), MAX_READERS)))
+    return ranges.mapInArrow(_ranges(size), schema)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
