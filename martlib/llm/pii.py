@@ -7,7 +7,8 @@ one surrogate however they are written, and each mention keeps its own format: d
 where digits were, with the first one kept (country, card network), separators stay, card
 numbers keep their Luhn check true or false, hexadecimal strings keep length and case, names
 keep gender (from the title) and script and the number of words; two people with one family
-name still share one.
+name still share one. A word of a titled name is replaced, and counted, wherever else it stands
+capitalised in the same text, also where it is an ordinary word ("Mr May ... in May").
 
 Surrogates derive from ``key`` by SHA-256. A surrogate that another entity of its kind already
 has, or that is itself a detected entity, is drawn again with the next attempt number until all
@@ -39,12 +40,38 @@ FEMALE = ("Mrs", "Ms", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпож
 _EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
-_PHONE = r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\p{L}\d])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)|(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
+_PHONE = "|".join((
+    r"(?<![\p{L}\d])\+\d{8,15}(?!\d)",
+    r"(?<![\p{L}\d])\+\d{1,3}[ .\-]?\(0\)[ .\-]?\d{1,4}(?:[ .\-]\d{2,8}){1,4}(?!\d)",
+    r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)",
+    r"(?<![\p{L}\d])\+(?=(?:[ .\-]?\d){8})\d{1,3}(?<ps>[ .\-])\d{1,4}(?:\k<ps>\d{2,8}){1,4}(?!\d)",
+    r"(?<![\p{L}\d])\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}(?!\d)",
+    r"(?<![\p{L}\d])\+\d{1,3}[ .\-]?\d{1,5}[/\-]\d{5,10}(?!\d)",
+    r"(?<![\p{L}\d\-])1[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d\-])",
+    r"(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
+    r"(?<![\p{L}\d\-])\d{3} \d{3}[ \-]\d{4}(?![\p{L}\d\-])",
+    r"(?<![\p{L}\d\-.])0\d(?<pn>[ .\-])\d{2}(?:\k<pn>\d{2}){3}(?![\d\-])",
+    r"(?<![\p{L}\d\-.])0\d{2,4}[ /\-]\d{6,8}(?![\d\-])",
+))
 _SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-_CARD = r"(?<![\p{L}\d])\d{4}(?:[ \-]?\d{4}){3}(?:[ \-]?\d{1,3})?(?![\p{L}\d])|(?<![\p{L}\d])3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}(?![\p{L}\d])"
+# Digits beyond the sixteenth belong to a card only in the card's own style of separators.
+_CARD = "|".join(
+    rf"(?<![\p{{L}}\d]){p}(?![\p{{L}}\d])"
+    for p in (
+        r"\d{16,19}",
+        r"\d{4}(?<cs>[ \-])\d{4}\k<cs>\d{4}\k<cs>\d{4}(?:\k<cs>\d{1,3})?",
+        r"\d{4}(?:[ \-]?\d{4}){3}",
+        r"3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}",
+    )
+)
 _IBAN = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![\p{L}\d])"
-_SECRET = r"(?<![\p{L}\d])(?=[a-fA-F]{0,40}\d)(?=\d{0,40}[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\d])"
-_NAME = rf"(?<!\p{{L}})(?:{'|'.join((*FEMALE, *MALE))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+){{0,2}}(?!\p{{L}})"
+_SECRET = r"(?<![\p{L}\d])(?=[a-fA-F]*+\d)(?=\d*+[a-fA-F])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\d])"
+# A word of a name: inner capitals, and parts joined by hyphens or apostrophes.
+_PART = r"\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*+"
+_WORD = rf"(?:\p{{Lu}}\p{{Ll}}*['’])?{_PART}(?:['’\-]{_PART})*"
+_NAME = rf"(?<!\p{{L}})(?:{'|'.join((*FEMALE, *MALE))})\.? {_WORD}(?: {_WORD}){{0,2}}(?!\p{{L}})"
+# Any word that could be a name without title.
+_LONE = rf"(?<!\p{{L}}){_WORD}(?!\p{{L}})"
 
 # Kind and pattern, in the order in which they are tried at a place.
 KINDS = (
@@ -144,7 +171,10 @@ def _draw(key: str) -> Column:
     valid = _luhn_sum(F.col("form")) % 10 == 0
     last = F.when(valid, check).otherwise((check + 1 + F.substring(number, 60, 1).cast("int") % 9) % 10)
     card = F.concat(body, last.cast("string"))
-    hexes = F.substring(digest, F.lit(1), size)
+    # Two blocks last for 128 digits; longer secrets take further ones made of these two.
+    blocks = F.transform(F.sequence(F.lit(1), F.ceil(size / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", digest, i.cast("string")), 256))
+    long = F.substring(F.array_join(blocks, ""), F.lit(1), size)
+    hexes = F.when(size > F.length(digest), long).otherwise(F.substring(digest, F.lit(1), size))
     octet = lambda i: (F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("long") % 254 + 1).cast("string")
     ip = F.concat_ws(".", *[octet(i) for i in range(4)])
     email = F.concat(F.lit("u"), F.substring(digest, 1, 16), F.lit("@mail.example"))
@@ -209,11 +239,11 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_entities", "_k1", "_k2", "_new")])
     found = write_through(mentions(docs), "pii-entities")
     table = surrogates(found.select("kind", "form").distinct(), key)
-    made = found.join(table, ["kind", "form"]).select("_k1", "_k2", "at", "part", _rendered().alias("new"), "kind")
+    made = found.join(table, ["kind", "form"]).select("_k1", "_k2", "at", "part", _rendered().alias("new"), "form")
     # The words of a name come together again, after its title.
     new = (
         made.groupBy("_k1", "_k2", "at")
-        .agg(F.sort_array(F.collect_list(F.struct("part", "new"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("part", "new", "form"))).alias("parts"))
         .groupBy("_k1", "_k2")
         .agg(F.sort_array(F.collect_list(F.struct("at", "parts"))).alias("_new"))
     )
@@ -233,11 +263,26 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
             F.array_join(F.transform(x["parts"], lambda p: p["new"]), " "),
         ),
     )
+    # Words of the text's names that stand elsewhere in it without a title.
+    parts = F.filter(F.flatten(F.transform("_new", lambda x: x["parts"])), lambda p: p["part"] > 0)
+    joined = joined.withColumn("_names", F.array_distinct(F.transform(parts, lambda p: F.struct(p["form"], p["new"]))))
+    named = F.size("_names") > 0
+    place = lambda word: F.array_position(F.col("_names.form"), F.lower(word)).cast("int")
+    lone = lambda gap: F.regexp_extract_all(gap, F.lit(_LONE), 0)
+    renamed = lambda word: F.when(place(word) > 0, F.get(F.col("_names.new"), place(word) - 1)).otherwise(word)
+    cleared = lambda gap: F.array_join(
+        F.zip_with(F.split(gap, _LONE), lone(gap), lambda a, b: F.concat(a, F.coalesce(renamed(b), F.lit("")))), ""
+    )
+    later = F.aggregate(
+        F.transform("_gaps", lambda gap: F.size(F.filter(lone(gap), lambda word: place(word) > 0))), F.lit(0), lambda a, x: a + x
+    )
+    joined = joined.withColumn("_later", F.when(named, later).otherwise(0))
+    joined = joined.withColumn("_gaps", F.when(F.col("_later") > 0, F.transform("_gaps", cleared)).otherwise(F.col("_gaps")))
     text = F.array_join(F.zip_with("_gaps", shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return joined.select(
         *columns,
         F.coalesce(text, "text").alias("text"),
-        F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities"),
+        (F.coalesce(F.size("_new"), F.lit(0)) + F.col("_later")).cast("long").alias("n_entities"),
     )
 
 
