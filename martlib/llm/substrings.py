@@ -64,9 +64,12 @@ def anchors_of(nodes: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
 
 
 def _edges(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, node: int) -> np.ndarray:
-    """Hash of all words from anchor a to the end of anchor b, at most two node lengths on."""
+    """Hash of all words from anchor a to the end of anchor b, at most three node lengths on."""
     middle = np.minimum(a + node, b)
     h = W.joined(W.joined(nodes[a], nodes[middle]), W.joined(nodes[b], (b - a).astype(np.uint64)))
+    far = b - a > 2 * node
+    if far.any():  # the runs at a, after it and at b leave out words right before b
+        h[far] = W.joined(h[far], nodes[b[far] - node])
     return np.where(h == _NONE, np.uint64(1), h)
 
 
