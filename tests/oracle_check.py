@@ -8,7 +8,7 @@ import time
 
 import duckdb
 
-TABLES = ["region", "nation", "customer", "orders", "documents", "pages", "benchmark", "labels"]
+TABLES = ["region", "nation", "customer", "orders", "documents", "pages", "benchmark", "labels", "conversations"]
 
 
 def connect(sf_dir: str):
