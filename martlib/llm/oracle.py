@@ -145,3 +145,126 @@ boil AS (
 OP2 = f"""WITH {lines_sql("documents")}
 SELECT doc_id, n_lines, n_removed, sha256(clean_text) AS text_sha256 FROM relined
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text."""
+    return (
+        f"xor(list_reduce(list_transform(string_split({text}, ''), lambda z: CAST(ascii(z) AS BIGINT)), "
+        "lambda c, b: list_reduce(range(8), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), "
+        "xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"
+    )
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_framed(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+OP11 = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+        CASE WHEN coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0, FALSE) THEN {_leaf("n_chars + 1")}
+            ELSE {_leaf("n_chars")} END AS presented
+    FROM documents
+), p AS (
+    SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+        dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY lang) AS cnt
+    FROM d
+), n AS (
+    SELECT tree, 0 AS level, idx, leaf AS digest, cnt FROM p
+    UNION ALL
+    SELECT tree, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (cnt + 1) // 2
+    FROM n WHERE cnt > 1 GROUP BY tree, level, idx // 2, cnt
+), t AS (
+    SELECT 0 AS level, tree AS idx, digest, count(*) OVER () AS cnt FROM n WHERE cnt = 1
+    UNION ALL
+    SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), (cnt + 1) // 2
+    FROM t WHERE cnt > 1 GROUP BY level, idx // 2, cnt
+), ways AS (
+    SELECT rid, level, (p.idx >> level) % 2 = 1 AS l, (SELECT digest FROM n s
+        WHERE s.tree = p.tree AND s.level = w.level AND s.idx = xor(p.idx >> w.level, 1)) AS d
+    FROM p JOIN (SELECT DISTINCT tree, level FROM n WHERE cnt > 1) w USING (tree)
+    UNION ALL
+    SELECT rid, 1000 + level, (p.tree >> level) % 2 = 1, (SELECT digest FROM t s
+        WHERE s.level = w.level AND s.idx = xor(p.tree >> w.level, 1))
+    FROM p, (SELECT DISTINCT level FROM t WHERE cnt > 1) w
+), proofs AS (SELECT rid, list({{'l': l, 'd': d}} ORDER BY level) AS steps FROM ways GROUP BY rid),
+done AS (
+    SELECT p.*, coalesce(steps, []) AS steps FROM p LEFT JOIN proofs USING (rid)
+), f AS (
+    SELECT done.*, list_reduce(steps, lambda a, s: {{'l': FALSE, 'd': sha256(CASE WHEN s.d IS NULL THEN a.d
+        WHEN s.l THEN s.d || a.d ELSE a.d || s.d END)}}, {{'l': FALSE, 'd': presented}}).d AS folded_root
+    FROM done
+)
+SELECT doc_id, leaf, (SELECT digest FROM n WHERE n.tree = f.tree AND n.cnt = 1) AS subroot,
+    (SELECT digest FROM t WHERE cnt = 1) AS root,
+    sha256(coalesce(array_to_string(list_transform(list_filter(steps, lambda s: s.d IS NOT NULL), lambda s: s.d), ''), '')) AS proof_sha256,
+    folded_root, folded_root = (SELECT digest FROM t WHERE cnt = 1) AS verified
+FROM f
+"""
+
+_NO_WORD = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+OP12 = rf"""
+WITH RECURSIVE src AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') AS c,
+        {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS code
+    FROM conversations
+), dam AS (
+    SELECT c, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN code = 1 THEN '' WHEN code = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM src, (VALUES (1), (2)) AS u(copy) WHERE code <> 0 AND (copy = 1 OR code = 3)
+), ord AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+        left(role, 1) AS ini, {_NO_WORD} AS body
+    FROM dam
+), f AS (
+    SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+        lag(ini) OVER (PARTITION BY c ORDER BY i) AS prev
+    FROM ord
+), stats AS (
+    SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY c
+), ins(start, k, added, state) AS (
+    VALUES (0, '', NULL, 0), (0, 'I', 'user:', 2), (0, 'II', 'user:' || chr(10) || 'assistant:', 3),
+        (1, '', NULL, 1), (1, 'I', 'user:', 2), (1, 'II', 'user:' || chr(10) || 'assistant:', 3),
+        (2, '', NULL, 2), (2, 'I', 'assistant:', 3), (2, 'II', 'assistant:' || chr(10) || 'user:', 2),
+        (3, '', NULL, 3), (3, 'I', 'user:', 2), (3, 'II', 'user:' || chr(10) || 'assistant:', 3)
+), fol(state, ini, nxt) AS (
+    VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), moves AS (
+    SELECT start, k || 'D' AS letters, added, 3 * length(k) + 4 AS cost, state AS nxt, 'D' AS edit, NULL AS ini FROM ins
+    UNION ALL
+    SELECT start, k || 'K', added, 3 * length(k), nxt, 'K', ini FROM ins JOIN fol USING (state)
+    UNION ALL
+    SELECT start, k || 'R', added, 3 * length(k) + 3, nxt, 'R', NULL FROM ins JOIN fol USING (state) WHERE ini <> 's'
+), r AS (
+    SELECT c, CAST(0 AS BIGINT) AS i, 0 AS st, 0 AS cost, '' AS audit, CAST(NULL AS VARCHAR) AS made FROM stats
+    UNION ALL
+    SELECT c, i, nxt, cost, audit, made FROM (
+        SELECT r.c, f.i, m.nxt, r.cost + m.cost + CASE WHEN f.fault = 't' AND m.edit <> 'D' THEN 3 ELSE 0 END AS cost,
+            r.audit || m.letters AS audit,
+            nullif(concat_ws(chr(10), r.made, m.added, CASE m.edit WHEN 'K' THEN f.role || ':' || f.text
+                WHEN 'R' THEN CASE m.nxt WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text END), '') AS made
+        FROM r JOIN f ON f.c = r.c AND f.i = r.i + 1 JOIN moves m ON m.start = r.st
+        WHERE (m.edit = 'D' OR f.fault NOT IN ('b', 'd')) AND (m.ini IS NULL OR m.ini = f.ini)
+    ) QUALIFY row_number() OVER (PARTITION BY c, nxt ORDER BY cost, audit) = 1
+), ends AS (
+    SELECT r.c, r.cost + 3 * length(k) AS cost, audit || k AS audit, concat_ws(chr(10), made, added) AS made
+    FROM r JOIN stats ON stats.c = r.c AND stats.n = r.i JOIN ins ON ins.start = r.st WHERE state IN (0, 3)
+    QUALIFY row_number() OVER (PARTITION BY r.c ORDER BY r.cost + 3 * length(k), audit || k) = 1
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+    coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM src) a LEFT JOIN stats USING (c) LEFT JOIN ends USING (c)
+"""
