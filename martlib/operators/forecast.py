@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martlib.functions import cleaning as C
 from martlib.operators.evaluate import select_market
-from martlib.operators.model import PREDICTION, predict
+from martlib.operators.model import PREDICTION, TreeModel, predict
 from martlib.operators.panel import (
     DATE,
     LAGS,
@@ -111,15 +110,15 @@ def calendar_features(
     }
 
 
-def _score(model: PipelineModel | Column, frame: DataFrame) -> DataFrame:
+def _score(model: TreeModel | Column, frame: DataFrame) -> DataFrame:
     """Predictions of a fitted model, or of a rule given as an expression of the features."""
-    if isinstance(model, PipelineModel):
+    if isinstance(model, TreeModel):
         return predict(model, frame)
     return frame.withColumn(PREDICTION, F.greatest(model, F.lit(0.0)))
 
 
 def _recurse(
-    model: PipelineModel | Column,
+    model: TreeModel | Column,
     state: DataFrame,
     horizon: int,
     step_date,
@@ -180,7 +179,7 @@ def future_calendar(panel: DataFrame, horizon: int, week_rule: str = "monday_w1"
 
 
 def forecast(
-    model: PipelineModel | Column,
+    model: TreeModel | Column,
     panel: DataFrame,
     horizon: int = 12,
     in_year: int = 2020,
@@ -207,7 +206,9 @@ def forecast(
         short_lag=short_lag,
         sample_std=sample_std,
     )
-    return done.select(*SERIES, "last_date", F.posexplode("preds").alias("pos", "pred")).select(
+    # An outer explode lets no filter be inferred, which would copy all steps' expressions.
+    rows = done.select(*SERIES, "last_date", F.posexplode_outer("preds").alias("pos", "pred"))
+    return rows.where("pos IS NOT NULL").select(
         F.date_add("last_date", (F.col("pos") + 1) * 7).alias(DATE),
         *SERIES,
         (F.col("pos") + 1).alias("step"),
@@ -216,7 +217,7 @@ def forecast(
 
 
 def backtest_recursive(
-    model: PipelineModel | Column,
+    model: TreeModel | Column,
     train: DataFrame,
     test: DataFrame,
     in_year: int = 2020,
@@ -261,8 +262,8 @@ def backtest_recursive(
         sample_std=sample_std,
     )
     pairs = F.arrays_zip("future", "preds")
-    rows = done.select(*SERIES, "last_value", F.posexplode(pairs).alias("pos", "pair"))
-    return rows.select(
+    rows = done.select(*SERIES, "last_value", F.posexplode_outer(pairs).alias("pos", "pair"))
+    return rows.where("pos IS NOT NULL").select(
         F.col("pair.future")[DATE].alias(DATE),
         *SERIES,
         F.col("pair.future")[TARGET].alias(TARGET),

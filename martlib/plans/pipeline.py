@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from martlib.operators import evaluate, forecast, model, panel
@@ -29,7 +28,7 @@ class Prepared:
 
 @dataclass(frozen=True)
 class Trained:
-    model: PipelineModel
+    model: model.TreeModel
     params: model.GbtParams
     scores: DataFrame | None
     metrics: DataFrame
@@ -64,7 +63,7 @@ def train_pipeline(
     if grid is not None:
         params, scores = model.tune(train, grid, folds)
     fitted = model.fit_gbt(train, params)
-    model.save_model(fitted, model_path)
+    model.save_model(spark, fitted, model_path)
 
     scored = write_through(model.predict(fitted, test), "scored")
     backtest = write_through(
@@ -83,7 +82,7 @@ def train_pipeline(
     )
 
 
-def load_or_fit(spark: SparkSession, model_path: str, train: DataFrame) -> PipelineModel:
+def load_or_fit(spark: SparkSession, model_path: str, train: DataFrame) -> model.TreeModel:
     """The saved model if there is one, else a fit with default parameters."""
     if path_exists(spark, model_path):
         return model.load_model(spark, model_path)

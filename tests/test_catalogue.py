@@ -33,7 +33,7 @@ def test_pipeline(spark, tmp_path):
     assert row.total_streams == trained.per_stream.count() > 0
     assert trained.steps.count() > 0 and trained.importance.count() > 0
     loaded = load_or_fit(spark, path, None)
-    assert loaded.stages[-1].getNumTrees == trained.model.stages[-1].getNumTrees
+    assert loaded == trained.model and loaded.trees == trained.params.trees
 
 
 def test_entry_has_rows():
