@@ -18,8 +18,10 @@ Only DataFrame functions. Distinct entities are what is hashed and compared, so
 a third of all rows mention costs one row there.
 
 Defined cases: null text stays null; texts without entities stay as they are; repeated rows
-give repeated results; extra columns are kept, those named like an output are replaced; empty
-tables give empty results.
+give repeated results; extra columns of any name are kept, only ``n_entities`` is replaced; empty
+tables give empty results; entities may be of any length. When ``MAX_ATTEMPTS`` draws leave a collision (an
+entity kind with nearly as many values as its format has surrogates) an error is raised. A word that is a
+family name in one mention and a given name in another has a surrogate for each.
 """
 
 from __future__ import annotations
@@ -37,7 +39,12 @@ MAX_ATTEMPTS = 64
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин")
 FEMALE = ("Mrs", "Ms", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа")
 
-_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"
+# Runs of unbounded length are single character classes or possessive groups: Java's matcher goes
+# into recursion for every round of any other repeated group, and long entities overflow its stack.
+_EMAIL = (
+    r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@"
+    r"[\p{L}\p{N}\-][\p{L}\p{N}.\-]*(?<!\.)\.\p{L}{2,}"
+)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 _PHONE = "|".join((
@@ -68,7 +75,7 @@ _IBAN = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?
 _SECRET = r"(?<![\p{L}\d])(?=[a-fA-F]*+\d)(?=\d*+[a-fA-F])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\d])"
 # A word of a name: inner capitals, and parts joined by hyphens or apostrophes.
 _PART = r"\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)*+"
-_WORD = rf"(?:\p{{Lu}}\p{{Ll}}*['’])?{_PART}(?:['’\-]{_PART})*"
+_WORD = rf"(?:\p{{Lu}}\p{{Ll}}*['’])?{_PART}(?:['’\-]{_PART}(?!\p{{L}}))*+"
 _NAME = rf"(?<!\p{{L}})(?:{'|'.join((*FEMALE, *MALE))})\.? {_WORD}(?: {_WORD}){{0,2}}(?!\p{{L}})"
 # Any word that could be a name without title.
 _LONE = rf"(?<!\p{{L}}){_WORD}(?!\p{{L}})"
@@ -236,7 +243,7 @@ def _rendered() -> Column:
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """Documents with text replaced and n_entities added."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_entities", "_k1", "_k2", "_new")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_entities"])
     found = write_through(mentions(docs), "pii-entities")
     table = surrogates(found.select("kind", "form").distinct(), key)
     made = found.join(table, ["kind", "form"]).select("_k1", "_k2", "at", "part", _rendered().alias("new"), "form")
@@ -247,42 +254,48 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
         .groupBy("_k1", "_k2")
         .agg(F.sort_array(F.collect_list(F.struct("at", "parts"))).alias("_new"))
     )
-    columns = [c for c in docs.columns if c != "text"]
-    joined = docs.select("*", *_key()).join(new, ["_k1", "_k2"], "left")
+    # Columns of this work have a beginning that no column of the input has.
+    w = "_"
+    while any(c.lower().startswith(w) for c in docs.columns):
+        w += "_"
+    k1, k2, new_, gaps, old_, names, later_ = (f"{w}{c}" for c in ("k1", "k2", "new", "gaps", "old", "names", "later"))
+    new = new.toDF(k1, k2, new_)
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    joined = docs.select("*", *[c.alias(n) for c, n in zip(_key(), (k1, k2))]).join(new, [k1, k2], "left")
     joined = joined.select(
-        *columns, "text", "_new",
-        F.when(F.size("_new") > 0, F.split("text", ANY)).alias("_gaps"),
-        F.when(F.size("_new") > 0, F.regexp_extract_all("text", F.lit(ANY), 0)).alias("_old"),
+        *columns, "text", new_,
+        F.when(F.size(new_) > 0, F.split("text", ANY)).alias(gaps),
+        F.when(F.size(new_) > 0, F.regexp_extract_all("text", F.lit(ANY), 0)).alias(old_),
     )
     title = lambda old: F.regexp_extract(old, r"^\p{L}+\.? ", 0)
     shown = F.zip_with(
-        "_new",
-        "_old",
+        new_,
+        old_,
         lambda x, old: F.concat(
             F.when(F.get(x["parts"], F.lit(0))["part"] > 0, title(old)).otherwise(F.lit("")),
             F.array_join(F.transform(x["parts"], lambda p: p["new"]), " "),
         ),
     )
     # Words of the text's names that stand elsewhere in it without a title.
-    parts = F.filter(F.flatten(F.transform("_new", lambda x: x["parts"])), lambda p: p["part"] > 0)
-    joined = joined.withColumn("_names", F.array_distinct(F.transform(parts, lambda p: F.struct(p["form"], p["new"]))))
-    named = F.size("_names") > 0
-    place = lambda word: F.array_position(F.col("_names.form"), F.lower(word)).cast("int")
+    parts = F.filter(F.flatten(F.transform(new_, lambda x: x["parts"])), lambda p: p["part"] > 0)
+    joined = joined.withColumn(names, F.array_distinct(F.transform(parts, lambda p: F.struct(p["form"], p["new"]))))
+    named = F.size(names) > 0
+    place = lambda word: F.array_position(F.col(f"{names}.form"), F.lower(word)).cast("int")
     lone = lambda gap: F.regexp_extract_all(gap, F.lit(_LONE), 0)
-    renamed = lambda word: F.when(place(word) > 0, F.get(F.col("_names.new"), place(word) - 1)).otherwise(word)
+    renamed = lambda word: F.when(place(word) > 0, F.get(F.col(f"{names}.new"), place(word) - 1)).otherwise(word)
     cleared = lambda gap: F.array_join(
         F.zip_with(F.split(gap, _LONE), lone(gap), lambda a, b: F.concat(a, F.coalesce(renamed(b), F.lit("")))), ""
     )
     later = F.aggregate(
-        F.transform("_gaps", lambda gap: F.size(F.filter(lone(gap), lambda word: place(word) > 0))), F.lit(0), lambda a, x: a + x
+        F.transform(gaps, lambda gap: F.size(F.filter(lone(gap), lambda word: place(word) > 0))), F.lit(0), lambda a, x: a + x
     )
-    joined = joined.withColumn("_later", F.when(named, later).otherwise(0))
-    joined = joined.withColumn("_gaps", F.when(F.col("_later") > 0, F.transform("_gaps", cleared)).otherwise(F.col("_gaps")))
-    text = F.array_join(F.zip_with("_gaps", shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = joined.withColumn(later_, F.when(named, later).otherwise(0))
+    joined = joined.withColumn(gaps, F.when(F.col(later_) > 0, F.transform(gaps, cleared)).otherwise(F.col(gaps)))
+    text = F.array_join(F.zip_with(gaps, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return joined.select(
         *columns,
         F.coalesce(text, "text").alias("text"),
-        (F.coalesce(F.size("_new"), F.lit(0)) + F.col("_later")).cast("long").alias("n_entities"),
+        (F.coalesce(F.size(new_), F.lit(0)) + F.col(later_)).cast("long").alias("n_entities"),
     )
 
 

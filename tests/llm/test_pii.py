@@ -98,3 +98,37 @@ def test_query_leaves_no_planted_entity(spark):
         assert not [x for x in hard if x in got[d.doc_id].text]
         if not hard and got[d.doc_id].n_entities == 0:
             assert got[d.doc_id].text == d.text
+
+
+def test_very_long_entities(spark):
+    """Hosts, names and texts of many parts: Java's matcher must not recurse by part."""
+    n = 100_000
+    texts = [
+        "mail x@" + "ab." * n + "com now",
+        "Mr Ab" + "-Ab" * n + " came",
+        "Mr Ab" + "-Ab" * n + "X",
+        "x@" + "a" * n + " y@" + "." * n + "com",
+        "a@b." * 3000 + " " + "Frau " * n,
+        "+1" + "1" * n + " 4111" + " 1111" * n + " " + "0a" * n,
+    ]
+    got = rows(spark, texts)
+    assert got[0].n_entities == 1 and re.fullmatch(r"mail u[0-9a-f]{16}@mail\.example now", got[0].text)
+    assert got[1].n_entities == 1 and len(got[1].text.split()) == 3 and "Ab" not in got[1].text
+    assert got[2].n_entities >= 1 and got[5].n_entities >= 1
+
+
+def test_mail_hosts(spark):
+    texts = ["x@a.com...Then", "x@a.com-foo", "x@a.b.co1", "x@.com", "x@a..com", "x@a", "(x@a-b.example.org)"]
+    got = rows(spark, texts)
+    assert [got[i].n_entities for i in range(7)] == [1, 1, 1, 0, 0, 0, 1]
+    assert [re.sub(r"u[0-9a-f]{16}@mail\.example", "M", got[i].text) for i in range(7)] == ["M...Then", "M-foo", "M1", *texts[3:6], "(M)"]
+
+
+def test_columns_named_like_internal_ones(spark):
+    names = ["_k1", "_k2", "_new", "_gaps", "_old", "_names", "_later", "__new", "N_ENTITIES", "at", "form", "kind", "a.b"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(1, TEXTS[4], *names), (2, None, *names)], schema)
+    got = P.replace_entities(docs, "k")
+    assert got.columns == ["doc_id", *[n for n in names if n != "N_ENTITIES"], "text", "n_entities"]
+    for r in got.collect():
+        assert all(r[n] == n for n in names if n != "N_ENTITIES") and "Smith" not in str(r)
