@@ -2,8 +2,8 @@
 
 Learning: the letters of every training text, in lower case with runs of anything else as one
 blank, are cut into byte trigrams, hashed to slots and counted per language in one
-combining aggregate. The table of languages by slots is bounded: with more languages each
-gets fewer slots, so it never exceeds ``MODEL_CELLS`` numbers and can be broadcast.
+combining aggregate. The table of languages by slots is the same for any number of rows; it is
+broadcast, so more than ``MAX_LANGUAGES`` language tags are an error rather than a coarser table.
 
 Inference: a text is a bag of trigrams drawn from a mixture of languages. Expectation
 maximisation finds the proportions; then languages are left out one by one, smallest
@@ -11,7 +11,7 @@ proportion first, as long as the penalised log-likelihood (``PENALTY`` log n per
 does not fall. The prediction is the language with the largest proportion, its proportion the
 score.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0, as is every
+Defined cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0, as is every
 text if nothing was learned; null languages are not learned from; documents with a null id
 are held out; repeated rows count each; extra columns are ignored; empty tables give empty
 results.
@@ -19,15 +19,13 @@ results.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODEL_CELLS = 1 << 26
-MAX_BITS = 16
+BITS = 16
+MAX_LANGUAGES = 512
 PENALTY = 2.0
 SMOOTHING = 0.5
 FOLDS = 5
@@ -36,10 +34,13 @@ UNKNOWN = "und"
 # Languages a task counts at once before it hands its counts on: a bound on memory.
 _HELD_LANGUAGES = 64
 _ROUNDS, _CHANGE = 40, 1e-3
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def slots_of(text: str, bits: int) -> np.ndarray:
     """Slot of each byte trigram of a text's letters."""
     raw = b" " + b" ".join(text.lower().encode().translate(_PLAIN).split()) + b" "
@@ -90,18 +91,17 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """Model from doc_id, text and lang of documents that are not held out."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("lang", "text")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    bits = MAX_BITS
-    while bits > 1 and (len(languages) << bits) > MODEL_CELLS:
-        bits -= 1
-    counts = np.zeros((1 << bits, len(languages)), np.int64)
+    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} language tags to learn")
+    counts = np.zeros((1 << BITS, len(languages)), np.int64)
     if languages:
-        table = rows.mapInArrow(_counter(bits), "lang string, slot long, n long")
+        table = rows.mapInArrow(_counter(BITS), "lang string, slot long, n long")
         table = table.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
         place = {lang: i for i, lang in enumerate(languages)}
         column = np.array([place[x] for x in table.column("lang").to_pylist()], np.int64)
         counts[table.column("slot").to_numpy(), column] = table.column("n").to_numpy()
-    return Model(languages, bits, counts)
+    return Model(languages, BITS, counts)
 
 
 def _fit(p: np.ndarray, n: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
@@ -142,7 +142,7 @@ def _predictor(shared):
         for batch in batches:
             names, scores, sets, shares = [], [], [], []
             for text in batch.column("text").to_pylist():
-                slots = slots_of(text, bits) if text and languages and _LETTER.search(text) else ()
+                slots = slots_of(text, bits) if languages and has_letter(text) else ()
                 if len(slots):
                     who, share = mixture(likelihood, slots)
                     sets.append([languages[i] for i in who.tolist()])

@@ -66,3 +66,79 @@ def test_nothing_learned(spark):
     assert [(r.lang_pred, r.score) for r in predict_languages(docs, learn(docs)).collect()] == [("und", 0.0)]
     empty = docs.limit(0)
     assert predict_languages(empty, learn(empty)).collect() == []
+
+
+def plain_mixture(columns, slots):
+    """Mixture inference with lists: shares by expectation maximisation, languages left out one by one."""
+    import math
+    from collections import Counter
+
+    from martlib.llm import language as L
+
+    bag, total = sorted(Counter(slots.tolist()).items()), len(slots)
+
+    def fit(langs, share):
+        for _ in range(L._ROUNDS):
+            new = dict.fromkeys(langs, 0.0)
+            for slot, n in bag:
+                each = {x: columns[x][slot] * share[x] for x in langs}
+                whole = sum(each.values())
+                for x in langs:
+                    new[x] += n * each[x] / whole / total
+            change = max(abs(new[x] - share[x]) for x in langs)
+            share = new
+            if change < L._CHANGE:
+                break
+        return share, sum(n * math.log(sum(columns[x][slot] * share[x] for x in langs)) for slot, n in bag)
+
+    langs = list(columns)
+    share, value = fit(langs, {x: 1 / len(langs) for x in langs})
+    while len(langs) > 1:
+        out = min(langs, key=lambda x: share[x])
+        rest = [x for x in langs if x != out]
+        scale = sum(share[x] + 1e-9 for x in rest)
+        fewer, less = fit(rest, {x: (share[x] + 1e-9) / scale for x in rest})
+        if less + L.PENALTY * math.log(total + 1) < value:
+            break
+        langs, share, value = rest, fewer, less
+    return sorted(((share[x], x) for x in langs), key=lambda p: -p[0])
+
+
+def test_predictions_equal_a_plain_version(stored):
+    """Counts, mixture and selection again with plain loops, over whole documents."""
+    docs = [r for r in stored.collect() if r.text is not None]
+    learned = sorted({r.lang for r in docs if r.lang})
+    counts = {x: [0.5] * (1 << 16) for x in learned}
+    for r in docs:
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 5:
+            for slot in slots_of(r.text, 16).tolist():
+                counts[r.lang][slot] += 1
+    columns = {}
+    for x, c in counts.items():
+        whole = sum(c)
+        columns[x] = [n / whole for n in c]
+    chosen = stored.where("doc_id % 9 = 0 AND n_chars < 4000")
+    got = {r.doc_id: r for r in predict_languages(chosen, learn(stored)).collect()}
+    seen = 0
+    for r in docs:
+        if r.doc_id in got and any(c.isalpha() for c in r.text):
+            want = plain_mixture(columns, slots_of(r.text, 16))
+            assert got[r.doc_id].languages == [x for _, x in want]
+            assert got[r.doc_id].shares == pytest.approx([s for s, _ in want], abs=1e-3)
+            seen += 1
+    assert seen > 50
+
+
+def test_signs_that_are_no_letters(spark):
+    rows = [(i, t, "de") for i, t in enumerate(["wort und satz", "²", "½ ²", "Ⅷ", "１２", "_", "ª", "ж"])]
+    docs = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")
+    said = {r.doc_id: r.lang_pred for r in predict_languages(docs, learn(docs)).collect()}
+    assert [said[i] for i in range(8)] == ["de", "und", "und", "und", "und", "und", "de", "de"]
+
+
+def test_too_many_language_tags(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        learn(docs)
