@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def number_rows(
     df: DataFrame,
     order_by: list[str],
     id_column: str,
-    start: int = 0,
+    start: int | Callable[[int], int] = 0,
     partitions: int | None = None,
 ) -> tuple[DataFrame, int, str]:
     """(``df`` with ids start+1.. in ``order_by`` order, last id, path of the staged rows).
@@ -33,6 +35,7 @@ def number_rows(
     own plus its position in that file. No task ever holds one key's rows as a group,
     ids cannot change after the staged files exist, and what is joined has one row per
     staged file. The caller may remove the staged path once the result is stored.
+    ``start`` may be a function of the number of rows, which reserves ids once it is known.
     ``partitions`` sizes the range shuffle; None leaves it to the session and AQE.
     """
     spark = df.sparkSession
@@ -56,8 +59,11 @@ def number_rows(
     offsets = sizes.select(
         "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    count = scan.count()
+    if callable(start):
+        start = start(count)
     numbered = staged.join(offsets, "_file").select(
         (F.col("_before") + F.col("_row") + F.lit(start + 1)).cast("long").alias(id_column),
         *schema_df.columns,
     )
-    return numbered, start + scan.count(), path
+    return numbered, start + count, path

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martlib.functions import cleaning as C
+from martlib.operators import publish
 from martlib.operators.ids import mark_ties, number_rows
-from martlib.operators.star import (
-    ID_ORDER,
-    Star,
-    read_high_water,
-    read_star,
-    resolve_keys,
-    write_high_water,
-)
+from martlib.operators.star import FACT_TABLE, ID_ORDER, ID_RANGES, Star, read_star, resolve_keys
 from martlib.schemas import FACT
-from martlib.storage import new_path, remove_path, replace_partitions, write_through
+from martlib.storage import remove_path, write_through
 
 # What an input form accepts.
 CUSTOMER_TYPES = ["New", "Existing", "Guest"]
@@ -72,8 +68,13 @@ def derive_new_facts(
     return marked.filter(F.col("reject_reason").isNull()).drop("reject_reason"), rejects
 
 
-def new_facts(star: Star, rows: DataFrame, last_id: int) -> tuple[DataFrame, DataFrame, int, str]:
-    """(fact rows numbered after ``last_id``, rejects, new last id, staged path)."""
+def new_facts(
+    star: Star, rows: DataFrame, last_id: int | Callable[[int], int]
+) -> tuple[DataFrame, DataFrame, int, str]:
+    """(fact rows numbered after ``last_id``, rejects, new last id, staged path).
+
+    ``last_id`` may be a function that reserves ids for the number of rows it is given.
+    """
     matched, rejects = derive_new_facts(star, mark_ties(rows))
     numbered, top, staged = number_rows(matched, ID_ORDER, "sales_id", start=last_id)
     return numbered.select(*FACT.fieldNames()), rejects, top, staged
@@ -82,20 +83,24 @@ def new_facts(star: Star, rows: DataFrame, last_id: int) -> tuple[DataFrame, Dat
 def append_sales(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int, DataFrame]:
     """Append a batch to the stored fact. Returns (rows added, rejects).
 
-    The high-water mark is raised before the rows are written: a job that dies between
-    the two leaves a gap in the ids, never a reused id.
+    The batch reserves its ids before its rows are written, so any number of writers can append
+    at once, and a job that dies leaves a gap in the ids, never a reused one. Readers see all
+    of the batch or nothing.
     """
-    last_id = read_high_water(spark, path)
-    facts, rejects, top, staged = new_facts(read_star(spark, path), rows, last_id)
+    table, reserved = f"{path}/{FACT_TABLE}", []
+
+    def reserve(count: int) -> int:
+        reserved.append(count)
+        return publish.reserve_ids(spark, f"{path}/{ID_RANGES}", count) if count else 0
+
+    facts, rejects, _, staged = new_facts(read_star(spark, path), rows, reserve)
     # Judged before the append, so later changes of the caller's rows do not show.
     rejects = write_through(rejects, "append-rejects")
-    if top > last_id:
-        write_high_water(spark, path, top)
-        facts.write.mode("append").partitionBy("calendar_year").parquet(
-            f"{path}/fact_weekly_sales"
-        )
+    if reserved[0]:
+        folders = publish.stage(facts, table, "calendar_year")
+        publish.commit(spark, table, lambda now: now + folders)
     remove_path(spark, staged)
-    return top - last_id, rejects
+    return reserved[0], rejects
 
 
 def without_ids(fact: DataFrame, ids: DataFrame) -> DataFrame:
@@ -103,31 +108,43 @@ def without_ids(fact: DataFrame, ids: DataFrame) -> DataFrame:
     return fact.join(ids.select("sales_id"), "sales_id", "left_anti")
 
 
+def _of_years(folders: list[str], years: list[int]) -> list[str]:
+    ends = tuple(f"/calendar_year={y}" for y in years)
+    return [f for f in folders if f.endswith(ends)]
+
+
 def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Delete by id list; returns the number of rows removed.
 
-    Only the year partitions that hold a listed id are rewritten, once and in one job:
-    survivors of all years go to a new path, then their folders are put in place of the
-    old ones by renaming. A job that dies while writing leaves the table as it was.
+    Only the years that hold a listed id are rewritten, once and in one job: their survivors
+    go to new folders, which one commit puts in place of the old ones. When another writer has
+    changed one of these years meanwhile, the delete starts again from that writer's table.
     """
-    fact = read_star(spark, path).fact
+    table = f"{path}/{FACT_TABLE}"
     ids = ids.select("sales_id").distinct()
     listed = ids.agg(
         F.count("*").alias("n"), F.min("sales_id").alias("low"), F.max("sales_id").alias("high")
     ).first()
-    if listed.n == 0:
-        return 0
-    # Ids follow the file order, so the id range skips row groups.
-    in_range = fact.filter(F.col("sales_id").between(listed.low, listed.high))
-    matches = in_range.join(ids, "sales_id", "left_semi")
-    hit = matches.groupBy("calendar_year").agg(F.count("*").alias("n")).collect()
-    if not hit:
-        return 0
-    years = [row.calendar_year for row in hit]  # one entry per calendar year
-    staged = new_path(spark, "survivors")
-    touched = fact.filter(F.col("calendar_year").isin(years))
-    left = without_ids(touched, ids).repartitionByRange("calendar_year", "sales_id")
-    left.sortWithinPartitions("calendar_year", "sales_id").write.partitionBy("calendar_year").parquet(staged)
-    replace_partitions(spark, staged, f"{path}/fact_weekly_sales", "calendar_year", years)
-    remove_path(spark, staged)
-    return sum(row.n for row in hit)
+    for _ in range(publish.ATTEMPTS):
+        _, before = publish.live(spark, table)
+        fact = publish.read(spark, table, FACT)
+        # Ids follow the file order, so the id range skips row groups.
+        in_range = fact.filter(F.col("sales_id").between(listed.low, listed.high))
+        matches = in_range.join(ids, "sales_id", "left_semi")
+        hit = matches.groupBy("calendar_year").agg(F.count("*").alias("n")).collect() if listed.n else []
+        if not hit:
+            return 0
+        years = [row.calendar_year for row in hit]  # one entry per calendar year
+        touched = fact.filter(F.col("calendar_year").isin(years))
+        left = without_ids(touched, ids).repartitionByRange("calendar_year", "sales_id")
+        folders = publish.stage(left.sortWithinPartitions("calendar_year", "sales_id"), table, "calendar_year")
+        replaced = sorted(_of_years(before, years))
+
+        def change(now: list[str]) -> list[str] | None:
+            if sorted(_of_years(now, years)) != replaced:
+                return None
+            return [f for f in now if f not in replaced] + folders
+
+        if publish.commit(spark, table, change):
+            return sum(row.n for row in hit)
+    raise RuntimeError("other writers kept changing the same years")

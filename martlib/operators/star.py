@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from martlib import schemas as S
 from martlib.operators.clean import clean_weekly_sales, split_rejects
+from martlib.operators import publish
 from martlib.operators.ids import TIE, mark_ties, number_rows
 from martlib.storage import partitions_for, remove_path, write_through
 
@@ -25,7 +26,9 @@ ID_ORDER = [
 ]
 
 DIMENSIONS = ["dim_region", "dim_platform", "dim_segment"]
-TABLES = [*DIMENSIONS, "fact_weekly_sales"]
+FACT_TABLE = "fact_weekly_sales"
+ID_RANGES = "id_ranges"
+TABLES = [*DIMENSIONS, FACT_TABLE]
 FACT_KEYS = ["region_id", "platform_id", "segment_id"]
 
 
@@ -97,19 +100,16 @@ def _write_dim(df: DataFrame, path: str, name: str) -> DataFrame:
 
 
 def _write_fact(fact: DataFrame, path: str, last_id: int) -> None:
-    fact.write.mode("overwrite").partitionBy("calendar_year").parquet(f"{path}/fact_weekly_sales")
-    write_high_water(fact.sparkSession, path, last_id, mode="overwrite")
-
-
-def write_high_water(spark: SparkSession, path: str, last_id: int, mode: str = "append") -> None:
-    """Ids are never reused after deletes, so the highest id ever given is kept beside the fact."""
-    mark = spark.range(1).select(F.lit(last_id).cast("long").alias("last_id"))
-    mark.write.mode(mode).parquet(f"{path}/id_high_water")
+    """Publishes a whole new fact; its ids take the place of all earlier ones."""
+    spark, table = fact.sparkSession, f"{path}/{FACT_TABLE}"
+    folders = publish.stage(fact, table, "calendar_year")
+    publish.reserve_ids(spark, f"{path}/{ID_RANGES}", last_id, after=0)
+    publish.commit(spark, table, lambda _: folders)
 
 
 def read_high_water(spark: SparkSession, path: str) -> int:
-    marks = spark.read.schema("last_id long").parquet(f"{path}/id_high_water")
-    return marks.agg(F.max("last_id")).first()[0]
+    """The highest id ever given: ids are never reused after deletes."""
+    return publish.last_id(spark, f"{path}/{ID_RANGES}")
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
@@ -120,7 +120,7 @@ def read_star(spark: SparkSession, path: str) -> Star:
         dim_region=table("dim_region", S.DIM_REGION),
         dim_platform=table("dim_platform", S.DIM_PLATFORM),
         dim_segment=table("dim_segment", S.DIM_SEGMENT),
-        fact=table("fact_weekly_sales", S.FACT),
+        fact=publish.read(spark, f"{path}/{FACT_TABLE}", S.FACT),
     )
 
 

@@ -57,22 +57,3 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
-def replace_partitions(spark: SparkSession, staged: str, table: str, column: str, values: list) -> None:
-    """Put the partition folders of ``staged`` in place of those of ``table``, by renaming.
-
-    Old folders wait under a hidden name until all new ones stand, so no data is copied
-    and nothing is deleted before its successor is there. A value without a staged folder
-    loses its partition.
-    """
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    files = path_of(table).getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = f"{table}/_replaced-{uuid.uuid4().hex}"
-    files.mkdirs(path_of(aside))
-    for value in values:
-        name = f"{column}={value}"
-        files.rename(path_of(f"{table}/{name}"), path_of(f"{aside}/{name}"))
-        if files.exists(path_of(f"{staged}/{name}")):
-            files.rename(path_of(f"{staged}/{name}"), path_of(f"{table}/{name}"))
-    files.delete(path_of(aside), True)
