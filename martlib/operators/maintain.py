@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from martlib.functions import cleaning as C
 from martlib.operators import publish
 from martlib.operators.ids import mark_ties, number_rows
-from martlib.operators.star import FACT_TABLE, ID_ORDER, ID_RANGES, Star, read_star, resolve_keys
+from martlib.operators.star import FACT_TABLE, ID_ORDER, ID_RANGES, Star, read_star, resolve_keys, stage_sums
 from martlib.schemas import FACT
 from martlib.storage import remove_path, write_through
 
@@ -98,6 +98,7 @@ def append_sales(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int,
     rejects = write_through(rejects, "append-rejects")
     if reserved[0]:
         folders = publish.stage(facts, table, "calendar_year")
+        folders += stage_sums(publish.read_folders(spark, table, FACT, folders), table)
         publish.commit(spark, table, lambda now: now + folders)
     remove_path(spark, staged)
     return reserved[0], rejects
@@ -110,7 +111,7 @@ def without_ids(fact: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _of_years(folders: list[str], years: list[int]) -> list[str]:
     ends = tuple(f"/calendar_year={y}" for y in years)
-    return [f for f in folders if f.endswith(ends)]
+    return [f for f in folders if f.startswith("batch=") and f.endswith(ends)]
 
 
 def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
@@ -138,6 +139,7 @@ def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
         touched = fact.filter(F.col("calendar_year").isin(years))
         left = without_ids(touched, ids).repartitionByRange("calendar_year", "sales_id")
         folders = publish.stage(left.sortWithinPartitions("calendar_year", "sales_id"), table, "calendar_year")
+        folders += stage_sums(matches, table, -1)
         replaced = sorted(_of_years(before, years))
 
         def change(now: list[str]) -> list[str] | None:

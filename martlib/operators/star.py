@@ -30,6 +30,7 @@ FACT_TABLE = "fact_weekly_sales"
 ID_RANGES = "id_ranges"
 TABLES = [*DIMENSIONS, FACT_TABLE]
 FACT_KEYS = ["region_id", "platform_id", "segment_id"]
+SUM_KEYS = ["week_date", "week_number", "month_number", "calendar_year", *FACT_KEYS, "customer_type"]
 
 
 @dataclass(frozen=True)
@@ -103,10 +104,32 @@ def _write_fact(fact: DataFrame, path: str, last_id: int) -> None:
     """Publishes a whole new fact; its ids take the place of all earlier ones."""
     spark, table = fact.sparkSession, f"{path}/{FACT_TABLE}"
     folders = publish.stage(fact, table, "calendar_year")
+    folders += stage_sums(publish.read_folders(spark, table, S.FACT, folders), table)
     publish.reserve_ids(spark, f"{path}/{ID_RANGES}", last_id, after=0)
     publish.commit(spark, table, lambda _: folders)
 
 
+def stage_sums(rows: DataFrame, table: str, sign: int = 1) -> list[str]:
+    """Additive sums of added or (sign -1) removed fact rows by week and keys, not yet published."""
+    sums = rows.groupBy(*SUM_KEYS).agg(
+        *[(F.sum(m) * sign).cast(S.SUMS[m].dataType).alias(m) for m in ("transactions", "sales")],
+        (F.count("*") * sign).alias("row_count"),
+    )
+    return publish.stage(sums, table, "calendar_year", "sums")
+
+
+def read_sums(spark: SparkSession, path: str) -> DataFrame:
+    """Sums of the stored fact by week and keys, without a scan of it.
+
+    They change in the same commit as the fact, by the sums of what it adds or removes.
+    """
+    parts = publish.read(spark, f"{path}/{FACT_TABLE}", S.SUMS, "sums")
+    sums = parts.groupBy(*SUM_KEYS).agg(
+        *[F.sum(m).cast(S.SUMS[m].dataType).alias(m) for m in ("transactions", "sales", "row_count")]
+    )
+    return sums.where("row_count > 0")
+
+
 def read_high_water(spark: SparkSession, path: str) -> int:
     """The highest id ever given: ids are never reused after deletes."""
     return publish.last_id(spark, f"{path}/{ID_RANGES}")

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martlib.functions import cleaning as C
 from martlib.functions.measures import percent, ratio
-from martlib.operators import bi, evaluate, forecast, impact, maintain, model, panel, quality, star
+from martlib.operators import bi, evaluate, forecast, impact, maintain, model, panel, quality, rank, star
 from martlib.operators.clean import clean_weekly_sales, split_rejects
 from martlib.operators.star import Star
 from martlib.plans import workspace as W
@@ -127,6 +127,17 @@ def csv_reordered_rows(w):
     return clean_weekly_sales(raw_sources.read_raw_csv(w.spark, path)).drop("raw_week_date")
 
 
+@on_workspace
+def resolved_rows(w):
+    """Raw rows when only a dump is there, and again when that run's CSV is."""
+    fields = [F.concat(F.lit("'"), F.col(c).cast("string"), F.lit("'")) for c in w.raw.columns]
+    dump, csv = new_path(w.spark, "dump"), new_path(w.spark, "resolved")
+    w.raw.select(F.concat(F.lit("("), F.concat_ws(", ", *fields), F.lit("),")).alias("value")).write.text(dump)
+    first = raw_sources.resolve_raw(w.spark, csv, dump).withColumn("source", F.lit("dump"))
+    again = raw_sources.resolve_raw(w.spark, csv, "no such dump").withColumn("source", F.lit("csv"))
+    return first.unionByName(again)
+
+
 @on_star
 def dim_region(s):
     return s.dim_region
@@ -788,6 +799,23 @@ def append_then_delete(w):
     return star.read_star(w.spark, path).fact
 
 
+@on_workspace
+def maintained_sums(w):
+    """The sums kept beside the fact after an append and a delete, which no scan of it made."""
+    path = new_path(w.spark, "summed")
+    star.write_star(w.star, path, star.read_high_water(w.spark, w.star_path))
+    maintain.append_sales(w.spark, path, _next_year_rows(w.star))
+    maintain.delete_sales(w.spark, path, _anchor_guest_ids(star.read_star(w.spark, path)))
+    return star.read_sums(w.spark, path)
+
+
+@on_star
+def fact_sales_median(s):
+    """Exact median of single weekly sales, by refinement of buckets."""
+    middle = rank.exact_median(s.fact, "sales", enough=1000)
+    return s.fact.agg(F.count("*").alias("row_count"), F.round(F.lit(middle), DIGITS).alias("median_sales"))
+
+
 # ---- boosted trees and recursive forecast ------------------------------------------
 
 
@@ -868,6 +896,15 @@ def moving_average_forecast_24wk(w):
     return _moving_average(w, 24)
 
 
+@on_workspace
+def short_history_forecast(w):
+    """Recursion from three known weeks per series: lags and means that need more fall back."""
+    newest = Window.partitionBy(*panel.SERIES).orderBy(F.desc(panel.DATE))
+    known = w.features.withColumn("age", F.row_number().over(newest)).where("age <= 3").drop("age")
+    rule = F.col("rolling_mean_8") * 0.5 + F.col("lag_4") * 0.5 + F.col("rolling_std_8") * 0.0
+    return forecast.forecast(rule, known, 8, W.INTERVENTION_YEAR, W.INTERVENTION_WEEK)
+
+
 @on_workspace
 def moving_average_total(w):
     sums = forecast.forecast_total(_moving_average(w, 12))

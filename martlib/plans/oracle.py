@@ -148,6 +148,10 @@ RAW_TEXT = """
     customer_type, transactions, CAST(cents AS DOUBLE) / 100 AS sales"""
 _add("sqldump_rows", f"SELECT {RAW_TEXT.format(region='region')} FROM clean")
 _add("csv_rows", f"SELECT {RAW_TEXT.format(region='lower(region)')} FROM clean")
+_add(
+    "resolved_rows",
+    f"SELECT {RAW_TEXT.format(region='region')}, source FROM clean, (VALUES ('dump'), ('csv')) AS s(source)",
+)
 _add("dim_region", "SELECT * FROM regions")
 _add("dim_platform", "SELECT * FROM platforms")
 _add("dim_segment", "SELECT * FROM segments")
@@ -671,6 +675,23 @@ _add(
          FROM moving_total""",
     panel=True,
 )
+_add(
+    "short_history_forecast",
+    """, tails AS (
+           SELECT region, platform, list_reverse((list(sales ORDER BY week_date DESC))[1:3]) AS h
+           FROM features GROUP BY 1, 2),
+       steps(region, platform, step, h, pred) AS (
+           SELECT region, platform, 0, h, CAST(NULL AS DOUBLE) FROM tails
+           UNION ALL
+           SELECT region, platform, step + 1, list_append(h, m), m
+           FROM (SELECT *, greatest(0.5 * list_sum(h[-8:]) / len(h[-8:])
+                                    + CASE WHEN len(h) >= 4 THEN 0.5 * h[-4] ELSE 0 END, 0) AS m
+                 FROM steps WHERE step < 8))
+       SELECT CAST((SELECT max(week_date) FROM features) + 7 * step AS DATE) AS week_date,
+              region, platform, CAST(step AS INTEGER) AS step, round(pred, 4) AS forecast
+       FROM steps WHERE step > 0""",
+    panel=True,
+)
 _add(
     "gbt_importance_checks",
     "SELECT CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS unlabelled, CAST(0 AS BIGINT) AS unused",
@@ -768,3 +789,16 @@ _grouped(
     f"CAST(count(*) AS BIGINT) AS row_count, {TOTAL}, CAST(sum(sales_id) AS BIGINT) AS id_sum",
     "NOT (week_date = DATE '1998-06-15' AND customer_type = 'Guest')",
 )
+_add(
+    "maintained_sums",
+    NEXT_YEAR
+    + f"""SELECT week_date, week_number, month_number, calendar_year, region_id, platform_id, segment_id,
+                customer_type, CAST(sum(transactions) AS BIGINT) AS transactions,
+                round(sum(sales), 2) AS sales, count(*) AS row_count
+         FROM ({FACT} WHERE NOT (week_date = DATE '1998-06-15' AND customer_type = 'Guest')
+               UNION ALL {APPENDED}) GROUP BY ALL""",
+)
+_add(
+    "fact_sales_median",
+    "SELECT count(*) AS row_count, round(median(CAST(cents AS DOUBLE) / 100), 6) AS median_sales FROM clean",
+)

@@ -52,6 +52,17 @@ FACT = T.StructType(
     ]
 )
 
+# Additive sums of the fact by week and keys.
+SUMS = T.StructType(
+    [f for f in FACT.fields if f.name not in ("sales_id", "transactions", "sales", "avg_transaction", "calendar_year")]
+    + [
+        T.StructField("transactions", T.LongType()),
+        T.StructField("sales", T.DecimalType(28, 2)),
+        T.StructField("row_count", T.LongType()),
+        T.StructField("calendar_year", T.IntegerType()),
+    ]
+)
+
 FACT_COLUMNS = [
     "sales_id",
     "week_date",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from martlib import schemas as S
 from martlib.operators import maintain as M
 from martlib.operators import publish
-from martlib.operators.star import build_star, read_high_water, read_star
+from martlib.operators.star import SUM_KEYS, build_star, read_high_water, read_star, read_sums
 from martlib.sources.raw import write_raw_table
 
 ROWS = [
@@ -95,7 +95,7 @@ def test_delete_counts_only_existing_ids(spark, stored):
 
 
 def live(spark, path):
-    return publish.live(spark, f"{path}/fact_weekly_sales")[1]
+    return [f for f in publish.live(spark, f"{path}/fact_weekly_sales")[1] if f.startswith("batch=")]
 
 
 def test_delete_of_a_whole_year_removes_its_folder(spark, stored):
@@ -191,3 +191,19 @@ def test_exclusive_creation(spark, tmp_path):
         won = list(pool.map(lambda i: publish.create_exclusively(spark, path, str(i)), range(24)))
     assert sum(won) == 1 and publish.read_text(spark, path) == str(won.index(True))
     assert len(list((tmp_path / "n").iterdir())) == 1
+
+
+def test_sums_follow_every_change(spark, stored):
+    def scanned():
+        fact = read_star(spark, stored).fact
+        sums = fact.groupBy(*SUM_KEYS).agg(F.sum("transactions"), F.sum("sales"), F.count("*"))
+        return sorted(tuple(r) for r in sums.collect())
+
+    def kept():
+        return sorted(tuple(r) for r in read_sums(spark, stored).select(*SUM_KEYS, "transactions", "sales", "row_count").collect())
+
+    assert kept() == scanned() and len(kept()) == 3
+    M.append_sales(spark, stored, batch(spark, NEW, NEW))
+    assert kept() == scanned() and len(kept()) == 4
+    M.delete_sales(spark, stored, ids_of(spark, 1, 4))
+    assert kept() == scanned() and len(kept()) == 3
