@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of the corpus operators that SQL can express."""
 
-from martlib.llm.quality import DELTA, RISK, SIGNALS
+from martlib.llm.quality import DELTA, RISK, SIGNALS, STEPS
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -62,18 +62,17 @@ FROM s LEFT JOIN g ON list_sort(s.sh) = g.sh LEFT JOIN c ON c.node = g.rep
 
 def quality_sql(source: str) -> str:
     """CTEs that end in ``judged``: every row of ``source`` with its counts and kept."""
-    level = f"{DELTA} / {len(SIGNALS)} / (SELECT greatest(1, count(DISTINCT lang)) FROM good)"
-    ladders = " UNION ALL ".join(
-        f"SELECT lang, '{s}' AS signal, step, c, count(*) AS n, "
-        f"count(*) FILTER ({count} * 1000 > {per} * c) AS k FROM good, "
-        f"(VALUES {', '.join(f'({i}, {c})' for i, c in enumerate(cutoffs))}) AS t(step, c) GROUP BY ALL"
-        for s, (count, per, cutoffs) in SIGNALS.items()
-    )
-    above = " OR ".join(
-        f"coalesce({count} * 1000 > {per} * (SELECT c FROM chosen x WHERE x.lang = coalesce(q.lang, '') AND x.signal = '{s}'), FALSE)"
-        for s, (count, per, _) in SIGNALS.items()
+    level = f"{DELTA} / (SELECT greatest(1, count(DISTINCT lang)) FROM good)"
+
+    def above(step: int) -> str:
+        return " OR ".join(f"{count} * 1000 > {per} * {cutoffs[step]}" for count, per, cutoffs in SIGNALS.values())
+
+    ladder = " UNION ALL ".join(
+        f"SELECT lang, {i} AS step, count(*) AS n, count(*) FILTER ({above(i)}) AS k FROM good GROUP BY lang"
+        for i in range(STEPS)
     )
-    p = RISK / len(SIGNALS)
+    rejected = " ".join(f"WHEN {i} THEN {above(i)}" for i in range(STEPS))
+    p = RISK
     return rf"""
 src AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t FROM {source}),
 cut AS (
@@ -99,16 +98,19 @@ cut AS (
     SELECT c.* REPLACE (coalesce(lang, '') AS lang) FROM counted c
     WHERE NOT base_failed AND doc_id IN (
         SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1)
-), ladder AS ({ladders}),
+), ladder AS ({ladder}),
 tested AS (
     SELECT *, k <= n * {p} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(
         lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) <= {level} AS proven
     FROM ladder
 ), chosen AS (
-    SELECT lang, signal, max_by(c, step) AS c FROM tested t
-    WHERE step < (SELECT coalesce(min(step), 1000) FROM tested f WHERE f.lang = t.lang AND f.signal = t.signal AND NOT f.proven)
-    GROUP BY lang, signal
-), judged AS (SELECT q.*, NOT base_failed AND NOT ({above}) AS kept FROM counted q)
+    SELECT lang, max(step) AS step FROM tested t
+    WHERE step < (SELECT coalesce(min(step), 1000) FROM tested f WHERE f.lang = t.lang AND NOT f.proven)
+    GROUP BY lang
+), judged AS (
+    SELECT q.*, NOT base_failed AND NOT coalesce(
+        CASE (SELECT step FROM chosen x WHERE x.lang = coalesce(q.lang, '')) {rejected} END, FALSE) AS kept
+    FROM counted q)
 """
 
 

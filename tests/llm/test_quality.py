@@ -84,10 +84,32 @@ def test_proven_cutoffs_reject_and_unproven_do_not(spark):
     said = kept(docs, labels)
     assert all(said[i] for i in range(700)) and not any(said[i] for i in range(700, 705))
     # Too few labels to prove anything, and too many good documents above the cutoff.
-    assert all(kept(*labelled(spark, 100, 5, above=0)).values())
+    assert all(kept(*labelled(spark, 50, 5, above=0)).values())
     assert all(kept(*labelled(spark, 700, 5, above=40)).values())
 
 
+def test_three_hundred_labels_prove_a_cutoff_and_the_rest_is_shown(spark):
+    docs, labels = labelled(spark, 300, 5, above=3)
+    rare = spark.createDataFrame([(i, f"mot{i} " * 30, None, "", 0) for i in range(1000, 1040)], SCHEMA)
+    labels = labels.unionByName(spark.createDataFrame([(i, 1) for i in range(1000, 1040)], "doc_id long, quality int"))
+    counted = Q.with_counts(docs.unionByName(rare.where("doc_id > 0")))
+    found = {r.stratum: r for r in Q.risk_controlled_cutoffs(counted, labels).collect()}
+    assert found["en"].n == 300 and found["en"].step == Q.STEPS - 1 and found["en"].cut_symbols == 100
+    assert "" not in found or found[""].step is None
+    said = {r.doc_id: r.kept for r in Q.verdicts_of(counted, labels).collect()}
+    assert sum(not said[i] for i in range(300)) == 3 and not any(said[i] for i in range(300, 305))
+
+
+def test_columns_named_like_internal_ones(spark):
+    names = ["_h", "_w", "__s", "_stratum", "a.b", "kept", "quality_step", "n_lines"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(1, "word " * 30, "en", *names)], schema)
+    made = Q.verdicts_of(Q.with_counts(docs), spark.createDataFrame([], "doc_id long, quality int"))
+    row = made.first()
+    assert [row[n] for n in names[:5]] == names[:5] and "quality_step" not in made.columns
+    assert row.kept is False and row.n_lines == 1
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "", 0), (None, "word " * 3, "en", "", 0), (2, "a b", "en", "", 0), (2, "a b", "en", "", 0)], SCHEMA)
     labels = spark.createDataFrame([(2, 1), (2, 0), (None, 1), (1, None)], "doc_id long, quality int")
