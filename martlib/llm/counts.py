@@ -21,6 +21,7 @@ that does not fit the width, or a text's id that is the separator's, is an error
 
 from __future__ import annotations
 
+import math
 from urllib.parse import quote
 
 import numpy as np
@@ -40,6 +41,8 @@ SPAN = 1024
 # Blocks of a raw file that a task reads as one range, and the number of such tasks.
 RANGE_BLOCKS = 128
 MAX_READERS = 20_000
+# Files taken as one value where only Spark can read a store.
+WHOLE_BYTES = 64 * 1024 * 1024
 
 _FLAT = "kind string, file long, block long, payload binary, doc_id long"
 
@@ -215,6 +218,41 @@ def _whole_files(size: int):
     return cut
 
 
+def record_bytes(length: int, size: int, width: int) -> int:
+    """The longest record of whole ids, at most ``size`` bytes, of which a file has a whole number."""
+    ids, most = length // width, size // width
+    found = max(d for i in range(1, min(most, math.isqrt(ids)) + 1) if ids % i == 0 for d in (i, ids // i) if d <= most)
+    return found * width
+
+
+def _records(spark, path: str, file: int, length: int, size: int, width: int):
+    """Blocks of one large file through Hadoop's fixed-length records, whose key is their place."""
+    if length % width:
+        raise ValueError(f"{path} does not hold whole ids of {width} bytes")
+    each = record_bytes(length, size, width)
+    records = spark.sparkContext.newAPIHadoopFile(
+        path,
+        "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat",
+        "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.BytesWritable",
+        conf={"fixedlengthinputformat.record.length": str(each)},
+    )
+
+    def blocks(rows):
+        """Records of a split follow each other; short ones are put together."""
+        first, held = None, bytearray()
+        for at, payload in rows:
+            if held and len(held) + each > size:
+                yield file, first // each, bytes(held)
+                held = bytearray()
+            first = at if not held else first
+            held += payload
+        if held:
+            yield file, first // each, bytes(held)
+
+    return records.mapPartitions(blocks)
+
+
 def _block(file: int, block: int, payload: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())],
@@ -227,8 +265,8 @@ def read_flat(spark, path: str, width: int = 2) -> DataFrame:
 
     Spark lists the files without their content, and tasks read ranges of ``RANGE_BLOCKS``
     blocks, so a large file is shared by many tasks and none holds more than a block of it.
-    A store that pyarrow has no reader for is read through Spark, whole file by whole file,
-    each of which must then be under 2 GB.
+    A store that pyarrow has no reader for is read through Spark: files of up to ``WHOLE_BYTES``
+    by content, larger ones as Hadoop's fixed-length records.
     """
     size, schema = BLOCK_IDS * width, "file long, block long, payload binary"
     files = spark.read.format("binaryFile").load(path).withColumn("file", F.xxhash64("path"))
@@ -237,7 +275,11 @@ def read_flat(spark, path: str, width: int = 2) -> DataFrame:
         if first:
             _file_system(first.path)
     except (OSError, pa.ArrowException, ImportError):
-        return files.select("file", "content").mapInArrow(_whole_files(size), schema)
+        small = files.where(F.col("length") <= WHOLE_BYTES).select("file", "content")
+        out = small.mapInArrow(_whole_files(size), schema)
+        for f in files.where(F.col("length") > WHOLE_BYTES).select("path", "file", "length").toLocalIterator():
+            out = out.unionByName(spark.createDataFrame(_records(spark, f.path, f.file, f.length, size, width), schema))
+        return out
     step = size * RANGE_BLOCKS
     ranges = (
         files.where("length > 0")

@@ -27,6 +27,29 @@ def test_files_are_read_in_ranges_without_whole_contents(spark, tmp_path, monkey
     assert sorted(map(sorted, by_file.values())) == sorted(map(sorted, want))
 
 
+def test_files_that_only_spark_can_open(spark, tmp_path, monkeypatch):
+    """Large ones as fixed-length records, small ones by content, with the same result."""
+    monkeypatch.setattr(counts, "BLOCK_IDS", 30)
+    rng = np.random.default_rng(5)
+    sizes = {"even.bin": 1200, "prime.bin": 1009, "small.bin": 41, "empty.bin": 0, "four.bin": 4}
+    files = {name: rng.integers(0, 6, n) for name, n in sizes.items()}
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(ids.astype("<u2").tobytes())
+
+    def refused(path):
+        raise OSError("no reader")
+
+    want = sorted(sorted(flat_counts(ids.tolist(), 0)) for ids in files.values() if len(ids))
+    monkeypatch.setattr(counts, "_file_system", refused)
+    for whole in (100, 0, 1 << 20):
+        monkeypatch.setattr(counts, "WHOLE_BYTES", whole)
+        by_file = {}
+        for r in counts.count_tokens(counts.read_flat(spark, str(tmp_path)), separator=0).collect():
+            by_file.setdefault(r.file, set()).add((r.ordinal, r.start, r.n_tokens, r.ended))
+        assert sorted(map(sorted, by_file.values())) == want
+    assert [counts.record_bytes(n * 2, 60, 2) for n in (1200, 1009, 7, 900)] == [60, 2, 14, 60]
+
+
 class _Ids:
     def __init__(self, ids):
         self.ids = ids
