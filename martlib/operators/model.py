@@ -111,7 +111,7 @@ def _nodes(trees: list[boost.Tree], layout: boost.Layout) -> list[tuple]:
                 split = (f"{SERIES[column - numbers]}_{name}", column, True, float(place), name)
             rows.append((number, at, *split, gain, rows_in, None))
             reached += [2 * at + 2, 2 * at + 1]
-    return rows
+    return sorted(rows, key=lambda r: r[:2])
 
 
 def fit_gbt(train: DataFrame, params: GbtParams = GbtParams()) -> TreeModel:
