@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 from martlib.functions import cleaning as C
 from martlib.operators import publish
 from martlib.operators.ids import mark_ties, number_rows
-from martlib.operators.star import FACT_TABLE, ID_ORDER, ID_RANGES, Star, read_star, resolve_keys, stage_sums
+from martlib.operators.star import (
+    FACT_TABLE,
+    ID_ORDER,
+    ID_RANGES,
+    Star,
+    check_batch,
+    read_high_water,
+    read_star,
+    resolve_keys,
+    stage_ids,
+    stage_sums,
+    taken_ids,
+)
 from martlib.schemas import FACT
 from martlib.storage import remove_path, write_through
 
@@ -87,23 +99,65 @@ def append_sales(spark: SparkSession, path: str, rows: DataFrame) -> tuple[int,
     at once, and a job that dies leaves a gap in the ids, never a reused one. Readers see all
     of the batch or nothing.
     """
-    table, reserved = f"{path}/{FACT_TABLE}", []
+    table, reserved, seen = f"{path}/{FACT_TABLE}", [], []
 
     def reserve(count: int) -> int:
         reserved.append(count)
+        seen.extend(publish.live(spark, table)[1])
         return publish.reserve_ids(spark, f"{path}/{ID_RANGES}", count) if count else 0
 
     facts, rejects, _, staged = new_facts(read_star(spark, path), rows, reserve)
     # Judged before the append, so later changes of the caller's rows do not show.
     rejects = write_through(rejects, "append-rejects")
     if reserved[0]:
-        folders = publish.stage(facts, table, "calendar_year")
-        folders += stage_sums(publish.read_folders(spark, table, FACT, folders), table)
-        publish.commit(spark, table, lambda now: now + folders)
+        _publish_rows(spark, table, facts, seen)
     remove_path(spark, staged)
     return reserved[0], rejects
 
 
+def _publish_rows(spark: SparkSession, table: str, facts: DataFrame, seen: list[str]) -> None:
+    """Commits new rows whose ids are none of those in the folders ``seen``.
+
+    What other writers have committed since is looked at before the commit, in their id
+    bitmaps only, so two writers never publish the same id.
+    """
+    folders = publish.stage(facts, table, "calendar_year")
+    rows = publish.read_folders(spark, table, FACT, folders)
+    folders += stage_sums(rows, table) + stage_ids(rows, table)
+    known = set(seen)
+
+    def change(now: list[str]) -> list[str] | None:
+        later = [f for f in now if f.startswith("ids=") and f not in known]
+        if later and not taken_ids(spark, table, rows, later).isEmpty():
+            return None
+        known.update(later)
+        return now + folders
+
+    if not publish.commit(spark, table, change):
+        raise ValueError("another writer has published some of these ids")
+
+
+def append_facts(spark: SparkSession, path: str, facts: DataFrame) -> int:
+    """Append rows that carry their ids and keys, such as deleted rows put back; returns how many.
+
+    The batch is checked by itself (see ``check_batch``) and refused as a whole when it breaks a
+    constraint. Later appends get higher ids than any of these.
+    """
+    table = f"{path}/{FACT_TABLE}"
+    rows = write_through(facts.select(*FACT.fieldNames()), "append-facts")
+    seen = publish.live(spark, table)[1]
+    broken = check_batch(spark, path, rows, seen).where("violations > 0").collect()
+    if broken:
+        raise ValueError(f"constraints broken: {[(r.rule, r.violations) for r in broken]}")
+    size = rows.agg(F.count("*").alias("n"), F.max("sales_id").alias("high")).first()
+    if not size.n:
+        return 0
+    while (last := read_high_water(spark, path)) < size.high:
+        publish.reserve_ids(spark, f"{path}/{ID_RANGES}", size.high - last)
+    _publish_rows(spark, table, rows, seen)
+    return size.n
+
+
 def without_ids(fact: DataFrame, ids: DataFrame) -> DataFrame:
     """Fact rows whose id is not listed."""
     return fact.join(ids.select("sales_id"), "sales_id", "left_anti")
@@ -111,7 +165,7 @@ def without_ids(fact: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _of_years(folders: list[str], years: list[int]) -> list[str]:
     ends = tuple(f"/calendar_year={y}" for y in years)
-    return [f for f in folders if f.startswith("batch=") and f.endswith(ends)]
+    return [f for f in folders if f.startswith(("batch=", "ids=")) and f.endswith(ends)]
 
 
 def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
@@ -139,6 +193,7 @@ def delete_sales(spark: SparkSession, path: str, ids: DataFrame) -> int:
         touched = fact.filter(F.col("calendar_year").isin(years))
         left = without_ids(touched, ids).repartitionByRange("calendar_year", "sales_id")
         folders = publish.stage(left.sortWithinPartitions("calendar_year", "sales_id"), table, "calendar_year")
+        folders += stage_ids(publish.read_folders(spark, table, FACT, folders), table)
         folders += stage_sums(matches, table, -1)
         replaced = sorted(_of_years(before, years))
 

@@ -104,7 +104,8 @@ def _write_fact(fact: DataFrame, path: str, last_id: int) -> None:
     """Publishes a whole new fact; its ids take the place of all earlier ones."""
     spark, table = fact.sparkSession, f"{path}/{FACT_TABLE}"
     folders = publish.stage(fact, table, "calendar_year")
-    folders += stage_sums(publish.read_folders(spark, table, S.FACT, folders), table)
+    staged = publish.read_folders(spark, table, S.FACT, folders)
+    folders += stage_sums(staged, table) + stage_ids(staged, table)
     publish.reserve_ids(spark, f"{path}/{ID_RANGES}", last_id, after=0)
     publish.commit(spark, table, lambda _: folders)
 
@@ -118,6 +119,36 @@ def stage_sums(rows: DataFrame, table: str, sign: int = 1) -> list[str]:
     return publish.stage(sums, table, "calendar_year", "sums")
 
 
+def stage_ids(rows: DataFrame, table: str) -> list[str]:
+    """The ids of fact rows as bitmaps, not yet published: about one bit per id, as ids are dense."""
+    bits = (
+        rows.where("sales_id is not null")
+        .groupBy("calendar_year", F.bitmap_bucket_number("sales_id").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("sales_id")).alias("bits"))
+    )
+    # Sorted, so a range of buckets skips pages of the files.
+    return publish.stage(bits.sortWithinPartitions("calendar_year", "bucket"), table, "calendar_year", "ids")
+
+
+def taken_ids(spark: SparkSession, table: str, ids: DataFrame, folders: list[str]) -> DataFrame:
+    """Distinct ids of a batch that the stored fact has, by the bitmaps in ``folders``.
+
+    Only buckets in the batch's id range are read, and the fact is not scanned at all. A batch
+    with fresh ids finds no bucket.
+    """
+    place = F.bitmap_bit_position("sales_id")
+    wanted = ids.where("sales_id is not null").select(
+        "sales_id", F.bitmap_bucket_number("sales_id").alias("bucket"), place.alias("place")
+    ).distinct()
+    span = wanted.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+    folders = [f for f in folders if f.startswith("ids=")]
+    stored = publish.read_folders(spark, table, S.ID_BITS, folders).where(F.col("bucket").between(span.low, span.high))
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(place div 8 as int) + 1"), F.lit(1))), 16, 10)
+    is_set = F.expr("(shiftright(byte, cast(place % 8 as int)) & 1) = 1")
+    found = wanted.join(stored.select("bucket", "bits"), "bucket").withColumn("byte", byte.cast("int"))
+    return found.where(is_set).select("sales_id").distinct()
+
+
 def read_sums(spark: SparkSession, path: str) -> DataFrame:
     """Sums of the stored fact by week and keys, without a scan of it.
 
@@ -228,35 +259,57 @@ def _total(df: DataFrame, value) -> DataFrame:
     return df.agg(F.coalesce(value, F.lit(0)).alias("violations"))
 
 
-def check_constraints(star: Star) -> DataFrame:
-    """The declared constraints as counts of violations: unique, not null, foreign keys.
-
-    One scan reduces the fact to a row per key combination with its row and null counts;
-    that small table is written once and answers every fact check but id uniqueness.
-    """
+def _fact_checks(fact: DataFrame, star: Star, repeated: DataFrame) -> dict[tuple[str, str], DataFrame]:
+    """Checks of fact rows; ``repeated`` has the count of ids that are not unique."""
     fact_keys = write_through(
-        star.fact.groupBy(*FACT_KEYS).agg(
-            F.count("*").alias("n"), _null_cells(star.fact).alias("null_cells")
-        ),
+        fact.groupBy(*FACT_KEYS).agg(F.count("*").alias("n"), _null_cells(fact).alias("null_cells")),
         "fact-keys",
     )
     checks = {
-        ("fact_weekly_sales", "not_null"): _total(fact_keys, F.sum("null_cells")),
-        ("fact_weekly_sales", "unique_sales_id"): _duplicates(star.fact, "sales_id"),
+        (FACT_TABLE, "not_null"): _total(fact_keys, F.sum("null_cells")),
+        (FACT_TABLE, "unique_sales_id"): repeated,
     }
-    for name, dim in star.dims().items():
-        key, natural = dim.columns[:2]
-        checks[name, "not_null"] = _total(dim, _null_cells(dim))
-        for column in (key, natural):
-            checks[name, f"unique_{column}"] = _duplicates(dim, column)
+    for dim in star.dims().values():
+        key = dim.columns[0]
         orphans = fact_keys.join(dim, key, "left_anti")
-        checks["fact_weekly_sales", f"foreign_key_{key}"] = _total(orphans, F.sum("n"))
+        checks[FACT_TABLE, f"foreign_key_{key}"] = _total(orphans, F.sum("n"))
+    return checks
+
+
+def _as_rows(checks: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            found.select(
-                F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"
-            )
+            found.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations")
             for (table, rule), found in checks.items()
         ],
     )
+
+
+def check_batch(spark: SparkSession, path: str, facts: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """What fact rows would add to the violations of a stored star that has none.
+
+    Equals ``check_constraints`` of stored and new rows together, but reads the new rows, the
+    dimensions and some bitmaps of stored ids only. ``folders`` are those of the version to
+    check against, the newest by default.
+    """
+    table = f"{path}/{FACT_TABLE}"
+    folders = publish.live(spark, table)[1] if folders is None else folders
+    own = facts.groupBy("sales_id").agg(F.count("*").alias("n")).where("n > 1").select("sales_id")
+    repeated = own.unionByName(taken_ids(spark, table, facts, folders)).distinct()
+    return _as_rows(_fact_checks(facts, read_star(spark, path), repeated.agg(F.count("*").alias("violations"))))
+
+
+def check_constraints(star: Star) -> DataFrame:
+    """The declared constraints as counts of violations: unique, not null, foreign keys.
+
+    One scan reduces the fact to a row per key combination with its row and null counts;
+    that small table is written once and answers every fact check but id uniqueness.
+    """
+    checks = _fact_checks(star.fact, star, _duplicates(star.fact, "sales_id"))
+    for name, dim in star.dims().items():
+        key, natural = dim.columns[:2]
+        checks[name, "not_null"] = _total(dim, _null_cells(dim))
+        for column in (key, natural):
+            checks[name, f"unique_{column}"] = _duplicates(dim, column)
+    return _as_rows(checks)

@@ -809,6 +809,37 @@ def maintained_sums(w):
     return star.read_sums(w.spark, path)
 
 
+def _batch_with_faults(s: Star) -> DataFrame:
+    """Last year's rows a year later: guests' rows under their old ids, rows of one platform under
+    a platform that is not there, existing customers' rows without sales, the rest with fresh ids."""
+    last_year, top = s.fact.agg(F.max("calendar_year")).scalar(), s.fact.agg(F.max("sales_id")).scalar()
+    guest = F.col("customer_type") == "Guest"
+    return s.fact.filter(F.col("calendar_year") == last_year).withColumns(
+        {
+            "sales_id": F.when(guest, F.col("sales_id")).otherwise(F.col("sales_id") + top),
+            "platform_id": F.when(F.col("platform_id") == 1, F.lit(99)).otherwise(F.col("platform_id")),
+            "sales": F.when(F.col("customer_type") != "Existing", F.col("sales")),
+        }
+    )
+
+
+@on_workspace
+def batch_violations(w):
+    """Constraints that a faulty batch would break, found without a scan of the stored fact."""
+    return star.check_batch(w.spark, w.star_path, _batch_with_faults(w.star))
+
+
+@on_workspace
+def restored_rows(w):
+    """The anchor week's guest rows deleted from a copy of the star, put back under their ids."""
+    path = new_path(w.spark, "restored")
+    star.write_star(w.star, path, star.read_high_water(w.spark, w.star_path))
+    gone = w.star.fact.join(_anchor_guest_ids(w.star), "sales_id", "left_semi")
+    maintain.delete_sales(w.spark, path, gone)
+    maintain.append_facts(w.spark, path, gone)
+    return star.read_star(w.spark, path).fact
+
+
 @on_star
 def fact_sales_median(s):
     """Exact median of single weekly sales, by refinement of buckets."""

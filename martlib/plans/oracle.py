@@ -798,6 +798,23 @@ _add(
          FROM ({FACT} WHERE NOT (week_date = DATE '1998-06-15' AND customer_type = 'Guest')
                UNION ALL {APPENDED}) GROUP BY ALL""",
 )
+_add(
+    "batch_violations",
+    f""", keyed AS ({FACT}), batch AS (
+            SELECT sales_id + CASE WHEN customer_type = 'Guest' THEN 0 ELSE (SELECT count(*) FROM clean) END
+                       AS sales_id,
+                   platform_id, customer_type
+            FROM keyed WHERE calendar_year = (SELECT max(calendar_year) FROM clean))
+        SELECT 'fact_weekly_sales' AS table_name, 'unique_sales_id' AS rule,
+               (SELECT count(*) FROM (SELECT sales_id FROM (SELECT sales_id FROM clean UNION ALL
+                                                            SELECT sales_id FROM batch)
+                                      GROUP BY 1 HAVING count(*) > 1)) AS violations
+        UNION ALL SELECT 'fact_weekly_sales', 'not_null', count(*) FROM batch WHERE customer_type = 'Existing'
+        UNION ALL SELECT 'fact_weekly_sales', 'foreign_key_platform_id', count(*) FROM batch WHERE platform_id = 1
+        UNION ALL SELECT 'fact_weekly_sales', 'foreign_key_region_id', 0
+        UNION ALL SELECT 'fact_weekly_sales', 'foreign_key_segment_id', 0""",
+)
+_add("restored_rows", FACT)
 _add(
     "fact_sales_median",
     "SELECT count(*) AS row_count, round(median(CAST(cents AS DOUBLE) / 100), 6) AS median_sales FROM clean",

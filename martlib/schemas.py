@@ -63,6 +63,15 @@ SUMS = T.StructType(
     ]
 )
 
+# Ids of the fact as bitmaps: bit p of bucket b stands for one id.
+ID_BITS = T.StructType(
+    [
+        T.StructField("bucket", T.LongType()),
+        T.StructField("bits", T.BinaryType()),
+        T.StructField("calendar_year", T.IntegerType()),
+    ]
+)
+
 FACT_COLUMNS = [
     "sales_id",
     "week_date",

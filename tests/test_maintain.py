@@ -1,5 +1,6 @@
 import shutil
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from datetime import date
 from decimal import Decimal
 
@@ -9,7 +10,16 @@ from pyspark.sql import functions as F
 from martlib import schemas as S
 from martlib.operators import maintain as M
 from martlib.operators import publish
-from martlib.operators.star import SUM_KEYS, build_star, read_high_water, read_star, read_sums
+from martlib.operators.star import (
+    SUM_KEYS,
+    build_star,
+    check_batch,
+    check_constraints,
+    read_high_water,
+    read_star,
+    read_sums,
+    taken_ids,
+)
 from martlib.sources.raw import write_raw_table
 
 ROWS = [
@@ -207,3 +217,81 @@ def test_sums_follow_every_change(spark, stored):
     assert kept() == scanned() and len(kept()) == 4
     M.delete_sales(spark, stored, ids_of(spark, 1, 4))
     assert kept() == scanned() and len(kept()) == 3
+
+
+def rows_with(spark, stored, *changes):
+    """Stored row 1 again, once per dict of changed columns."""
+    row = read_star(spark, stored).fact.where("sales_id = 1").first().asDict()
+    return spark.createDataFrame([tuple({**row, **c}[n] for n in S.FACT.fieldNames()) for c in changes], S.FACT)
+
+
+def violations(df):
+    return {(r.table_name, r.rule): r.violations for r in df.collect()}
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        [],
+        [{"sales_id": 4}, {"sales_id": 40_000}],
+        [{"sales_id": 1}, {"sales_id": 2}, {"sales_id": 9}],
+        [{"sales_id": 7}, {"sales_id": 7}, {"sales_id": 7}, {"sales_id": 3}, {"sales_id": 3}],
+        [{"sales_id": -5}, {"sales_id": 0}, {"sales_id": 2**40}, {"sales_id": None}],
+        [{"sales_id": 4, "region_id": 77}, {"sales_id": 5, "region_id": None, "sales": None}],
+        [{"sales_id": 32_768, "segment_id": 9}, {"sales_id": 32_769, "platform_id": -1}],
+    ],
+)
+def test_batch_check_equals_the_full_check_of_both(spark, stored, changes):
+    now, new = read_star(spark, stored), rows_with(spark, stored, *changes)
+    full = violations(check_constraints(replace(now, fact=now.fact.unionByName(new))))
+    wanted = {k: v for k, v in full.items() if k[0] == "fact_weekly_sales"}
+    assert violations(check_batch(spark, stored, new)) == wanted
+
+
+def test_batch_check_reads_bitmaps_not_the_fact(spark, stored):
+    new = rows_with(spark, stored, {"sales_id": 2})
+    found = check_batch(spark, stored, new)
+    files = [f for f in found.inputFiles() if f"{stored}/fact_weekly_sales" in f]
+    assert files and all("/fact_weekly_sales/ids=" in f for f in files)
+    assert "GreaterThanOrEqual(bucket,1)" in found._jdf.queryExecution().toString()
+
+
+def test_id_bitmaps_follow_every_change(spark, stored):
+    def taken(*ids):
+        table = f"{stored}/fact_weekly_sales"
+        found = taken_ids(spark, table, ids_of(spark, *ids), publish.live(spark, table)[1])
+        return sorted(r[0] for r in found.collect())
+
+    assert taken(0, 1, 2, 3, 4, 5, 32_769, None) == [1, 2, 3]
+    M.append_sales(spark, stored, batch(spark, NEW, NEW))
+    assert taken(0, 1, 2, 3, 4, 5, 6) == [1, 2, 3, 4, 5]
+    M.delete_sales(spark, stored, ids_of(spark, 1, 4))
+    assert taken(1, 2, 3, 4, 5) == [2, 3, 5] and taken() == []
+
+
+def test_deleted_rows_come_back_and_taken_ids_do_not(spark, stored):
+    before, gone = facts(spark, stored), rows_with(spark, stored, {}, {"sales_id": 70_000})
+    with pytest.raises(ValueError, match="unique_sales_id"):
+        M.append_facts(spark, stored, gone)
+    assert facts(spark, stored) == before
+    M.delete_sales(spark, stored, ids_of(spark, 1))
+    assert M.append_facts(spark, stored, gone) == 2 and M.append_facts(spark, stored, gone.limit(0)) == 0
+    assert {r for r in facts(spark, stored) if r[0] < 70_000} == before
+    assert read_high_water(spark, stored) == 70_000
+    M.append_sales(spark, stored, batch(spark, NEW))
+    assert read_star(spark, stored).fact.agg(F.max("sales_id")).first()[0] == 70_001
+
+
+def test_an_id_published_meanwhile_is_refused(spark, stored, monkeypatch):
+    """Another writer puts in the same ids after the check and before the commit."""
+    real, other = M.stage_ids, rows_with(spark, stored, {"sales_id": 50})
+
+    def late(rows, table):
+        monkeypatch.setattr(M, "stage_ids", real)
+        M.append_facts(spark, stored, other)
+        return real(rows, table)
+
+    monkeypatch.setattr(M, "stage_ids", late)
+    with pytest.raises(ValueError, match="another writer"):
+        M.append_facts(spark, stored, rows_with(spark, stored, {"sales_id": 50}, {"sales_id": 51}))
+    assert sorted(r[0] for r in facts(spark, stored)) == [1, 2, 3, 50]
