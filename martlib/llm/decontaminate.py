@@ -5,9 +5,10 @@ beyond ASCII. A window is ``n`` consecutive words of an item; an item of fewer w
 none, is one window by itself. Every window of a document is hashed and looked up; a hit is
 verified against the words themselves, so a hash collision never counts.
 
-The broadcast set is bounded: items are dealt into blocks of at most ``BLOCK_BYTES`` of text
+The broadcast set is bounded: items are dealt into blocks of about ``BLOCK_BYTES`` of text
 (one item larger than that is a block by itself), and the documents are scanned once per
-block, each scan adding to the hits found before. There is no shuffle of documents at all.
+block, each scan adding to the hits found before. There is no shuffle of documents at all. A
+Python worker keeps the arrays of one block and uses them for all its tasks.
 
 Defined cases: null and empty texts have no words, no hits and are not contaminated; null
 items and items without words have no windows; an item whose id is null can hit words but is
@@ -29,34 +30,91 @@ from martlib.llm import words as W
 from martlib.storage import write_through
 
 WINDOW = 13
-# Text of benchmark items broadcast at once.
-BLOCK_BYTES = 32 * 1024 * 1024
+# Text of benchmark items broadcast at once. A word takes two bytes at least, so a block has at
+# most 8 million windows; at six bytes a word it has 2.8 million.
+BLOCK_BYTES = 16 * 1024 * 1024
 # A document is contaminated when at least one word in this many is hit.
 SHARE = 20
 
-# Bits of the table that sorts out windows no item can have.
+# Most bits of the table that sorts out windows no item can have.
 _FILTER_BITS = 22
 
 
+def _squeezed(text: bytes) -> tuple[bytes, np.ndarray]:
+    """(normalised words, each followed by one blank; where each word starts, and the end)."""
+    raw = np.frombuffer(text.translate(W.ALNUM) + b" ", np.uint8)
+    kept = raw != 32
+    kept[1:] |= kept[:-1].copy()  # the blank after each word
+    kept = raw[kept]
+    return kept.tobytes(), np.concatenate([[0], np.flatnonzero(kept == 32) + 1])
+
+
+def _hashes_of(text: bytes, at: np.ndarray) -> np.ndarray:
+    """Hashes of the words, few of which are Python objects at a time."""
+    cache, out = W.WordHashes(), np.empty(len(at) - 1, np.uint64)
+    for i in range(0, len(out), W.BLOCK_WORDS):
+        part = at[i : i + W.BLOCK_WORDS + 1].tolist()
+        out[i : i + len(part) - 1] = cache.of([text[s : e - 1] for s, e in zip(part, part[1:])])
+    return out
+
+
+class _Windows:
+    """Windows of one length: sorted hashes, the word each starts at, and bits of the hashes."""
+
+    def __init__(self, hashes: np.ndarray, places: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], places[order]
+        self.shift = np.uint64(64 - min(_FILTER_BITS, len(hashes).bit_length() + 4))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self.of(self.hashes)] = True
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> self.shift).astype(np.int64)
+
+    def find(self, hashes: np.ndarray):
+        """(places among ``hashes``, first and last of the windows with that hash)."""
+        at = np.flatnonzero(self.maybe[self.of(hashes)])
+        low = np.searchsorted(self.hashes, hashes[at], side="left")
+        high = np.searchsorted(self.hashes, hashes[at], side="right")
+        known = low < high
+        return at[known], low[known], high[known]
+
+
 class Items:
-    """Windows of a block of items by their length and hash."""
+    """Windows of a block of items by their length and hash, as arrays.
+
+    A window takes 12 bytes, up to 32 in the bits, and a word 4 beside its text: no words or
+    windows are kept as Python objects.
+    """
 
     def __init__(self, rows: list[tuple[str | None, bytes]], n: int):
-        by_length: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for item, text in rows:
-            words = W.alnum_words(text)
-            if not words:
+        text, starts, self.names, first, total = bytearray(), [], [], [], 0
+        made: dict[int, list] = defaultdict(list)
+        for item, source in rows:
+            words, at = _squeezed(source)
+            count = len(at) - 1
+            if not count:
                 continue
-            k = min(n, len(words))
-            hashes = W.window_hashes(W.WordHashes().of(words), k)
-            for i, h in enumerate(hashes.tolist()):
-                by_length[k][h].append((tuple(words[i : i + k]), item))
-        self.windows = {k: dict(v) for k, v in by_length.items()}
-        self.maybe = {}
-        for k, table in self.windows.items():
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[(np.array(list(table), np.uint64) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.maybe[k] = bits
+            k = min(n, count)
+            hashes = W.window_hashes(_hashes_of(words, at), k)
+            made[k].append((hashes, np.arange(total, total + len(hashes), dtype=np.uint32)))
+            starts.append((at[:-1] + len(text)).astype(np.uint32))
+            first.append(total)
+            self.names.append(item)
+            text += words
+            total += count
+        self.text = bytes(text)
+        self.starts = np.concatenate([*starts, np.array([len(text)], np.uint32)])
+        self.first = np.array(first, np.int64)
+        self.windows = {}
+        for k in list(made):
+            hashes, places = zip(*made.pop(k))
+            self.windows[k] = _Windows(np.concatenate(hashes), np.concatenate(places))
+
+    def _same(self, k: int, places: np.ndarray, have: bytes) -> np.ndarray:
+        """Which of the item windows at ``places`` are these words."""
+        begin, end = self.starts[places].tolist(), self.starts[places + k].tolist()
+        return np.array([self.text[s : e - 1] == have for s, e in zip(begin, end)], bool)
 
     def scan(self, words: list[list[bytes]], cache: W.WordHashes):
         """(hit places, ids of items) for each text of a block."""
@@ -66,20 +124,17 @@ class Items:
         hit = np.zeros(len(flat) + 1, np.int32)
         found: dict[int, set] = defaultdict(set)
         for k, table in self.windows.items():
-            windows = W.window_hashes(hashes, k)
-            places = np.flatnonzero(self.maybe[k][(windows >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            places, low, high = table.find(W.window_hashes(hashes, k))
             owner = np.searchsorted(at, places, side="right") - 1
             inside = places + k <= at[owner + 1]
-            for p, o in zip(places[inside].tolist(), owner[inside].tolist()):
-                entries = table.get(int(windows[p]))
-                if entries is None:
-                    continue
-                have = tuple(flat[p : p + k])
-                same = [item for window, item in entries if window == have]
-                if same:
+            for p, o, i, j in zip(*(x[inside].tolist() for x in (places, owner, low, high))):
+                starts = table.places[i:j].astype(np.int64)
+                starts = starts[self._same(k, starts, b" ".join(flat[p : p + k]))]
+                if len(starts):
                     hit[p] += 1
                     hit[p + k] -= 1
-                    found[o].update(x for x in same if x is not None)
+                    of = np.unique(np.searchsorted(self.first, starts, side="right") - 1)
+                    found[o].update(self.names[x] for x in of.tolist() if self.names[x] is not None)
         places = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
         owner = np.searchsorted(at, places, side="right") - 1
         edges = np.searchsorted(owner, np.arange(len(words) + 1))
@@ -142,10 +197,20 @@ def _ddl(df: DataFrame, extra: str):
     return StructType(df.schema.fields + StructType.fromDDL(extra).fields)
 
 
+_held: list = [None, None]
+
+
+def _items_of(block) -> Items:
+    """The arrays of a broadcast block, made once in a worker; only the last block is kept."""
+    if _held[0] is not block:
+        _held[:] = [None, None]
+        _held[:] = [block, Items(*block)]
+    return _held[1]
+
+
 def _scanner(shared):
     def scan(batches):
-        rows, n = shared.value
-        known, cache = Items(rows, n), W.WordHashes()
+        known, cache = _items_of(shared.value), W.WordHashes()
         for batch in batches:
             texts = W.texts_of(batch.column("text"))
             counts, hits, items = [], [], []

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -82,3 +83,35 @@ def test_a_very_long_text(spark):
     item = " ".join(f"i{k}" for k in range(13))
     docs = spark.createDataFrame([(1, "filler " * 300_000 + item)], "doc_id long, text string")
     assert got(D.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))) == [(1, 300_013, 13, "7", False)]
+
+
+def test_arrays_of_a_block_are_bounded():
+    """Bytes per window while the arrays are made and after, words of six bytes and of two."""
+    rng = random.Random(5)
+    for letters, count in [(5, 300_000), (1, 600_000)]:
+        text = " ".join("".join(rng.choices("abcdefgh", k=letters)) for _ in range(count)).encode()
+        size = len(text) // 10
+        rows = [(str(i), text[i * size : (i + 1) * size]) for i in range(10)]
+        tracemalloc.start()
+        items = D.Items(rows, 13)
+        kept, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert sum(len(w.hashes) for w in items.windows.values()) > 0.99 * count
+        assert kept < 60 * count and peak < 60_000_000 + 100 * count, (kept / count, peak / count)
+
+
+def test_a_window_of_many_items_counts_each(spark):
+    shared = " ".join(f"s{k}" for k in range(13))
+    items = [(i, f"own{i} {shared} {shared}") for i in range(500)] + [(900, shared)]
+    docs = [(1, f"a {shared} b"), (2, shared.replace("s5", "x"))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert got(D.decontaminate(frame, bench)) == brute(docs, items)
+
+
+def test_one_item_in_many_pieces(monkeypatch):
+    monkeypatch.setattr(D.W, "BLOCK_WORDS", 7)
+    text = " -".join(f"w{i % 19}" for i in range(100)).encode()
+    words, at = D._squeezed(text)
+    want = D.W.alnum_words(text)
+    assert words.split() == want and D._hashes_of(words, at).tolist() == D.W.WordHashes().of(want).tolist()
+    assert D._squeezed(b" .. ")[0] == b"" and len(D._squeezed(b"")[1]) == 1
