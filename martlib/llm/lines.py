@@ -8,6 +8,9 @@ estimates clear of it decide by themselves. A line on MIN_SITES sites or more is
 boilerplate and goes from every document but the one with the least doc_id, where its first
 place stays.
 
+Where single rows of a line are needed again, its rows are dealt to ``SALTS`` parts by document and
+place, and the few looked-up lines are repeated for each part: no line is in one task alone.
+
 Only DataFrame functions. A document's removed places come back as one array, and its text is
 rebuilt inside the row.
 
@@ -27,6 +30,8 @@ MIN_SITES = 10
 LG_REGISTERS = 12
 NEAR = 0.065
 NEAR_SITES = 2
+# Parts of the rows of every line in joins by line.
+SALTS = 32
 
 SPACES = " \t\n\x0b\f\r"
 _OUT = ("n_lines", "n_removed", "clean_text")
@@ -43,6 +48,15 @@ def _key() -> list:
     ]
 
 
+def _salt(*of: str):
+    return F.pmod(F.xxhash64(*of), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _salted(lines: DataFrame) -> DataFrame:
+    """Each looked-up line once per part."""
+    return lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
     """(h1, h2, first): hashes of lines on many sites, and the least document that has them."""
     lines = (
@@ -58,7 +72,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     spread = spread.where(F.col("sites") >= min_sites - margin)
     near = F.col("sites") <= min_sites + margin
     exact = (
-        lines.join(spread.where(near).select("h1", "h2"), ["h1", "h2"], "left_semi")
+        lines.select("h1", "h2", "site", _salt("doc_id", "site"))
+        .join(_salted(spread.where(near).select("h1", "h2")), ["h1", "h2", "salt"], "left_semi")
         .select("h1", "h2", "site")
         .distinct()
         .groupBy("h1", "h2")
@@ -75,11 +90,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     lines = (
         docs.select(*_key(), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .where(F.btrim("line", F.lit(SPACES)) != "")
-        .select("_k1", "_k2", "doc_id", "pos", *_hash("line"))
+        .select("_k1", "_k2", "doc_id", "pos", *_hash("line"), _salt("_k1", "pos"))
     )
     # One row per document and boilerplate line; the first place stays in the first document.
     gone = (
-        lines.join(boilerplate(docs, min_sites, site), ["h1", "h2"])
+        lines.join(_salted(boilerplate(docs, min_sites, site)), ["h1", "h2", "salt"])
         .groupBy("_k1", "_k2", "h1", "h2")
         .agg(F.collect_set("pos").alias("at"), F.max(F.col("doc_id").eqNullSafe(F.col("first"))).alias("own"))
         .select(

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from martlib.llm import lines as L
 
@@ -62,3 +63,14 @@ def test_edges(spark):
     assert got(L.remove_boilerplate(frame, 3)) == brute(docs, 3)
     assert L.remove_boilerplate(frame, 3).columns == ["doc_id", "text", "source", "h1", "n_lines", "n_removed", "clean_text"]
     assert L.remove_boilerplate(frame.limit(0), 3).collect() == []
+
+
+def test_rows_of_one_line_lie_in_many_parts(spark):
+    """A third of all lines is one line: its rows spread over the parts, in both joins by line."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 12) AS source", "concat('own ', id, '\nall of us\nmore ', id) AS text")
+    parts = docs.select(*L._key(), F.lit(1).alias("pos")).groupBy(L._salt("_k1", "pos")).count().collect()
+    assert len(parts) == L.SALTS and max(r["count"] for r in parts) < 3000 / L.SALTS * 2
+    for sites, gone in [(10, 2999), (12, 2999), (13, 0)]:
+        out = L.remove_boilerplate(docs, sites)
+        assert out.agg(F.sum("n_removed")).first()[0] == gone
+        assert out.where("n_removed = 0 AND clean_text = text").count() == 3000 - gone
