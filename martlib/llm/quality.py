@@ -182,11 +182,14 @@ def risk_controlled_cutoffs(
     table = good.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(F.count("*").alias("n"), *sums)
     table = write_through(table, "quality-counts")
     level = delta / max(1, table.count())
-    proven = [binomial_tail(F.col("n"), F.col(f"k{i}"), risk) <= level for i in range(STEPS)]
+    # The test is one expression for all steps, and each select uses what the one before has made.
+    rejected = F.array(*[f"k{i}" for i in range(STEPS)])
+    proven = F.transform(rejected, lambda k: binomial_tail(F.col("n"), k, risk) <= level)
     # Up to the first step that is not proven.
-    failed = F.coalesce(F.array_position(F.array(*proven), False), F.lit(0))
-    last = F.when(failed == 0, F.lit(STEPS)).otherwise(failed - 1).cast("int") - 1
-    step = F.when(last >= 0, last)
+    table = table.select("stratum", "n", F.coalesce(F.array_position(proven, False), F.lit(0)).alias("failed"))
+    last = F.when(F.col("failed") == 0, F.lit(STEPS)).otherwise(F.col("failed") - 1).cast("int") - 1
+    table = table.select("stratum", "n", last.alias("last"))
+    step = F.when(F.col("last") >= 0, F.col("last"))
     cut = lambda cutoffs: F.get(F.array(*map(F.lit, cutoffs)), step)
     return table.select("stratum", "n", step.alias("step"), *[cut(c).alias(f"cut_{s}") for s, (_, _, c) in SIGNALS.items()])
 
