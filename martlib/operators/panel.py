@@ -29,6 +29,10 @@ BASE_FEATURES = (
     + ["transactions", "is_packaging_week"]
 )
 
+# Names of one series column that get a 0/1 column each.
+MAX_LEVELS = 1000
+
+
 def panel_weekly(star: Star) -> DataFrame:
     """Weekly sums per series; sales in millions, transactions in thousands."""
     calendar = ["week_date", "week_number", "month_number", "calendar_year"]
@@ -120,7 +124,11 @@ def engineer_features(panel: DataFrame, in_year: int = 2020, from_week: int = 25
 
 
 def _levels(dim: DataFrame, column: str) -> list[str]:
-    return sorted(r[0] for r in dim.select(column).distinct().collect())
+    """Sorted distinct names; more than MAX_LEVELS are an error, and are not fetched."""
+    names = [r[0] for r in dim.select(column).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(names) > MAX_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LEVELS} names, too many for a column each")
+    return sorted(names)
 
 
 def dummy_levels(star: Star) -> dict[str, list[str]]:

@@ -106,6 +106,13 @@ def test_dummies_drop_the_first_level(two_series):
     assert (row.region_EUROPE, row.region_USA, row.platform_Shopify) == (0, 1, 1)
 
 
+def test_too_many_levels_are_an_error(spark):
+    dim = spark.range(P.MAX_LEVELS).selectExpr("CAST(id AS STRING) AS region_name")
+    assert P._levels(dim.union(dim), "region_name") == sorted(map(str, range(P.MAX_LEVELS)))
+    with pytest.raises(ValueError, match="region_name"):
+        P._levels(dim.union(spark.sql("SELECT 'x'")), "region_name")
+
+
 def test_split_and_profile(two_series):
     train, test = P.split(two_series, "2020-05-04")
     assert train.count() + test.count() == two_series.count()
